@@ -23,14 +23,14 @@ def aqi_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {OBS} select station_id, ts, " + ", ".join(f"{part_sql(p)} i_{p}" for p in POLLUTANTS) + " from obs")
 def aqi_subindex(spark, sf_dir):
-    parts = [index.pollutant_index(p, F.col(p)).alias(f"i_{p}") for p in POLLUTANTS]
+    parts = [index.pollutant_index(p).alias(f"i_{p}") for p in POLLUTANTS]
     return fx.observations(spark, sf_dir).select("station_id", "ts", *parts)
 
 
 @query(f"with {OBS} select station_id, ts, {aqi_sql(('pm2_5', 'pm10'))} aqi from obs")
 def aqi_pm_only(spark, sf_dir):
     obs = fx.observations(spark, sf_dir)
-    return obs.select("station_id", "ts", index.aqi_particles(F.col("pm2_5"), F.col("pm10")).alias("aqi"))
+    return obs.select("station_id", "ts", index.aqi_particles().alias("aqi"))
 
 
 @query(f"with {OBS} select station_id, ts, {pm_aqi_sql('pm2_5')} aqi from obs")
@@ -106,7 +106,7 @@ def change_rate_band(spark, sf_dir):
        " p as (select *, lag(aqi) over (partition by station_id order by ts) prev from a)"
        f" select station_id, ts, aqi, {q6('coalesce((aqi - prev)::double / nullif(prev, 0), 0)')} aqi_change_rate from p")
 def change_rate_rows(spark, sf_dir):
-    obs = fx.observations(spark, sf_dir).withColumn("aqi", index.aqi_particles(F.col("pm2_5"), F.col("pm10")))
+    obs = fx.observations(spark, sf_dir).withColumn("aqi", index.aqi_particles())
     out = changerate.change_rate_rows(obs.select("station_id", "ts", "aqi"))
     return rounded(out, "aqi_change_rate")
 

@@ -51,41 +51,55 @@ PM_TAIL = (150.4, 250.4, 200.0, 100.0)
 PM_CAP = 300
 
 
-def subindex(concentration: Column, points=SCALES["pm2_5"].points, levels=LEVELS) -> Column:
-    """Piecewise-linear index of one converted concentration.
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
 
-    Missing or negative gives 0, beyond the last point gives 500, and halves
-    round to the even neighbour.
-    """
-    # Missing fails every comparison and ends at the 0 of ``coalesce``.
-    c = F.nanvl(concentration, F.lit(None).cast("double"))
-    branch = F.when(c < 0, F.lit(0.0))
+
+def _subindex_text(c: str, points, levels=LEVELS) -> str:
+    """SQL text, parsed in one call: far cheaper to build than nested columns."""
+    known = f"nanvl({c}, cast(null as double))"
+    arms = [f"when {known} < 0 then 0D"]
     for low, high, base, top in zip(points, points[1:], levels, levels[1:]):
         slope = (top - base) / (high - low)
-        branch = branch.when(c <= high, F.lit(slope) * (c - F.lit(low)) + F.lit(float(base)))
-    return F.coalesce(F.bround(branch.when(c.isNotNull(), F.lit(TOP)), 0), F.lit(0.0))
+        arms.append(f"when {known} <= {_number(high)} then {_number(slope)} * ({c} - {_number(low)}) + {_number(base)}")
+    # Missing fails every comparison and ends at the 0 of ``coalesce``.
+    arms.append(f"when {known} is not null then {_number(TOP)}")
+    return f"coalesce(bround(case {' '.join(arms)} end, 0), 0D)"
 
 
-def pollutant_index(name: str, concentration: Column) -> Column:
-    """Index of one stored concentration (µg/m³), NULL where it is missing."""
+def _pollutant_text(name: str, column: str) -> str:
     scale = SCALES[name]
-    c = concentration
+    c = f"`{column}`"
     if scale.divide:
-        converted = c / F.lit(scale.factor)
+        converted = f"({c} / {_number(scale.factor)})"
     else:
-        converted = c if scale.factor == 1.0 else c * F.lit(scale.factor)
-    return F.when(F.nanvl(c, F.lit(None).cast("double")).isNotNull(), subindex(converted, scale.points))
+        converted = c if scale.factor == 1.0 else f"({c} * {_number(scale.factor)})"
+    known = f"nanvl({c}, cast(null as double)) is not null"
+    return f"case when {known} then {_subindex_text(converted, scale.points)} end"
+
+
+def subindex(column: str, points=SCALES["pm2_5"].points, levels=LEVELS) -> Column:
+    """Piecewise-linear index of one converted concentration.
+
+    Missing or negative gives 0, beyond the last point gives 500, and halves
+    round to the even neighbour.
+    """
+    return F.expr(_subindex_text(f"`{column}`", points, levels))
+
+
+def pollutant_index(name: str, column: str | None = None) -> Column:
+    """Index of one stored concentration (µg/m³), NULL where it is missing."""
+    return F.expr(_pollutant_text(name, column or name))
 
 
-def aqi(names: dict[str, Column] | None = None) -> Column:
+def aqi(names: dict[str, str] | None = None) -> Column:
     """Index over all pollutants present; 0 when none is."""
-    columns = names or {n: F.col(n) for n in SCALES}
-    parts = [pollutant_index(n, c) for n, c in columns.items()]
-    worst = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    return F.coalesce(worst, F.lit(0.0)).cast("int")
+    parts = [_pollutant_text(n, c) for n, c in (names or {n: n for n in SCALES}).items()]
+    worst = f"greatest({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    return F.expr(f"cast(coalesce({worst}, 0D) as int)")
 
 
-def aqi_particles(pm2_5: Column, pm10: Column) -> Column:
+def aqi_particles(pm2_5: str = "pm2_5", pm10: str = "pm10") -> Column:
     """Index over the two particle measures only."""
     return aqi({"pm2_5": pm2_5, "pm10": pm10})
 
@@ -114,6 +128,6 @@ def card_status(value: Column) -> Column:
     return _bands(value, CARD_BANDS, CARD_TOP)
 
 
-def resolved(stored: Column, names: dict[str, Column] | None = None) -> Column:
+def resolved(stored: Column, names: dict[str, str] | None = None) -> Column:
     """Stored index, computed from the pollutants where it is missing."""
     return F.coalesce(stored.cast("int"), aqi(names))
