@@ -6,7 +6,7 @@ from importlib import import_module
 
 from airspark.catalog.registry import QUERIES, SQL
 
-MODULES = ["values", "summaries", "tables"]
+MODULES = ["values", "summaries", "tables", "learning"]
 
 
 def load() -> tuple[dict, dict]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from airspark.functions.numbers import clean, coerce, ratio
+from airspark.functions.numbers import clean, coerce
 from airspark.functions.timefn import HOUR_US, age_label, hours_between, instant, micros, naive_utc
 from airspark.operators.series import row_windowed
 from airspark.schema import POLLUTANTS, STATION, TS
@@ -144,7 +144,3 @@ def constituents(latest: DataFrame, named: list[tuple[str, str, str]]) -> DataFr
         ]
     )
     return latest.select(STATION, F.inline(items)).where(F.col("value").isNotNull())
-
-
-def share_pct(part: Column, whole: Column) -> Column:
-    return ratio(part * 100.0, whole)
