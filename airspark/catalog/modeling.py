@@ -54,13 +54,13 @@ def fit_rf(spark, sf_dir):
 
 @query()
 def fit_robust_linear(spark, sf_dir):
-    return _scores(*_fit(spark, sf_dir, "robust_linear", models.robust_linear(maxIter=50)))
+    return _scores(*_fit(spark, sf_dir, "robust_linear", models.robust_linear()))
 
 
 @query()
 def random_search(spark, sf_dir):
     train, _, names, scaler = split(spark, sf_dir)
-    _, report = models.random_search("robust_linear", models.robust_linear(maxIter=20), models.LINEAR_GRID, train, names, scaler, n_iter=3)
+    _, report = models.random_search("robust_linear", models.robust_linear(), models.LINEAR_GRID, train, names, scaler, n_iter=3)
     return spark.createDataFrame(report, "settings string, rmse double")
 
 
@@ -100,12 +100,12 @@ def forecast_harmonic(spark, sf_dir):
 # ---- use of a model -------------------------------------------------------
 
 def linear_model(spark, sf_dir):
-    return _fit(spark, sf_dir, "robust_linear", models.robust_linear(maxIter=50))[0]
+    return _fit(spark, sf_dir, "robust_linear", models.robust_linear())[0]
 
 
 @query()
 def register_model(spark, sf_dir):
-    fitted, test = _fit(spark, sf_dir, "robust_linear", models.robust_linear(maxIter=50))
+    fitted, test = _fit(spark, sf_dir, "robust_linear", models.robust_linear())
     metrics = _scores(fitted, test).first().asDict()
     root = scratch_path(spark, "models")
     models.register(spark, root, fitted, metrics)
@@ -242,7 +242,7 @@ def _envelopes(spark, sf_dir):
     first = payload_json(daily_payloads(rows), BY).withColumn("sent_at", sent + F.expr("interval 1 day"))
     fifth = rows.where(F.dayofmonth("ts") % 5 == 0).withColumn("pm2_5", F.col("pm2_5") + 1)
     again = payload_json(daily_payloads(fifth), BY).withColumn("sent_at", sent + F.expr("interval 2 days"))
-    return first.unionByName(again).select("station_id", "sent_at", "payload")
+    return first.select("station_id", "sent_at", "payload"), again.select("station_id", "sent_at", "payload")
 
 
 _RESENT = f"{OBS.replace('obs as (', 'obs0 as (')}, obs as (select * replace (pm2_5 + case when day(ts) % 5 = 0 then 1 else 0 end as pm2_5) from obs0)"
@@ -253,7 +253,10 @@ _RESENT_AQI = _RESENT + WITH_AQI[len(OBS):]
        " else interval '1 day' end ingestion_timestamp from a")
 def stream_ingest(spark, sf_dir):
     folder = scratch_path(spark, "payloads")
-    _envelopes(spark, sf_dir).repartition(4).write.json(folder)
+    first, again = _envelopes(spark, sf_dir)
+    first.repartition(3).write.json(folder)
+    # Files that come later are read later: what they repeat is replaced.
+    again.repartition(1).write.mode("append").json(folder)
     store = FeatureStore(spark, scratch_path(spark, "stream-store")).init()
     stream = ingest.payload_stream(spark, folder, files_per_batch=2)
     job = ingest.ingest_payloads(stream, store, scratch_path(spark, "stream-state"), fx.NOW, scratch_path(spark, "alerts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from airspark.functions.numbers import ratio
-from airspark.operators.quantiles import BINS, long_values, quantiles, value_bin, value_counts, value_edges
+from airspark.operators.quantiles import long_values, quantiles, value_bucket
 from airspark.operators.series import running_totals
 from airspark.schema import STATION
 
@@ -50,12 +50,12 @@ def drift_metrics(
     )
     now = stats.where(~F.col(_BASE)).select(*by, *[F.col(c).alias(f"current_{c}") for c in ("mean", "std", "median")])
     pair = base.join(now, by)
-    counted = value_counts(long_values(current, columns, [STATION]), by)
+    values = long_values(current, columns, [STATION])
     below_or_above = (F.col("value") < F.col("base_p05")) | (F.col("value") > F.col("base_p95"))
     outside = (
-        counted.join(base.select(*by, "base_p05", "base_p95"), by)
+        values.join(base.select(*by, "base_p05", "base_p95"), by)
         .groupBy(*by)
-        .agg((F.sum(F.when(below_or_above, F.col("n")).otherwise(0)) / F.sum("n")).alias("outside_share"))
+        .agg((F.count_if(below_or_above) / F.count("*")).alias("outside_share"))
     )
     c = F.col
     gap = F.abs(c("current_mean") - c("base_mean"))
@@ -114,10 +114,9 @@ def drift_ks(baseline: DataFrame, current: DataFrame, columns: list[str]) -> Dat
         long_values(both, columns, [STATION, _BASE])
         .groupBy(*by, "value")
         .agg(F.count_if(F.col(_BASE)).alias("n_base"), F.count_if(~F.col(_BASE)).alias("n_current"))
-        .join(value_edges(both, columns, [STATION]), by)
-        .withColumn("_b", value_bin(F.col("value"), F.col("low"), F.col("high"), BINS, squeeze=True))
     )
-    steps = running_totals(counts, {"at_base": F.col("n_base"), "at_current": F.col("n_current")}, F.col("_b"), by, ["value"])
+    sums = {"at_base": F.col("n_base"), "at_current": F.col("n_current")}
+    steps = running_totals(counts, sums, value_bucket(F.col("value")), by, ["value"])
     gap = F.abs(
         ratio(F.col("at_base"), F.col("at_base_total")) - ratio(F.col("at_current"), F.col("at_current_total"))
     )

@@ -10,7 +10,7 @@ from airspark.functions import labels
 from airspark.functions.numbers import ratio
 from airspark.functions.timefn import clock_label, month_label
 from airspark.operators.quality import missing_overall
-from airspark.operators.quantiles import binned_counts, long_values, quantiles, value_bin, value_counts, value_edges
+from airspark.operators.quantiles import equal_width_bin, long_values, quantiles, value_edges
 from airspark.operators.series import day_bucket, running_totals
 from airspark.schema import POLLUTANTS, STATION, TS
 
@@ -63,34 +63,31 @@ def fences(quartiles: DataFrame) -> DataFrame:
     return quartiles.withColumns({"lower": F.col("q25") - reach, "upper": F.col("q75") + reach})
 
 
-def _fenced_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    bounds = fences(quantiles(df, columns, QUARTILES)).withColumnRenamed("n", "total")
-    return value_counts(long_values(df, columns, [STATION]), [STATION, "feature"]).join(bounds, [STATION, "feature"])
+def _fenced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every value beside the quartiles and fences of its station and column."""
+    bounds = fences(quantiles(df, columns, QUARTILES)).drop("n")
+    return long_values(df, columns, [STATION]).join(bounds, [STATION, "feature"])
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values beyond the fences on either side; the share is of all rows."""
     out = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    found = (
-        _fenced_counts(df, columns)
-        .groupBy(STATION, "feature", "lower", "upper")
-        .agg(F.sum(F.when(out, F.col("n")).otherwise(0)).alias("outliers"))
-    )
+    found = _fenced(df, columns).groupBy(STATION, "feature", "lower", "upper").agg(F.count_if(out).alias("outliers"))
     rows = df.groupBy(STATION).agg(F.count("*").alias("_rows"))
     share = (F.col("outliers") * 100.0 / F.col("_rows")).alias("outlier_pct")
     return found.join(rows, STATION).select(STATION, "feature", "lower", "upper", "outliers", share)
 
 
 def iqr_upper(df: DataFrame, columns: list[str]) -> DataFrame:
-    above = F.when(F.col("value") > F.col("upper"), F.col("n")).otherwise(0)
-    return _fenced_counts(df, columns).groupBy(STATION, "feature", "upper").agg(F.sum(above).alias("extreme_events"))
+    above = F.count_if(F.col("value") > F.col("upper"))
+    return _fenced(df, columns).groupBy(STATION, "feature", "upper").agg(above.alias("extreme_events"))
 
 
 def box_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, and the extreme values that lie inside the fences."""
     kept = F.when(F.col("value").between(F.col("lower"), F.col("upper")), F.col("value"))
     return (
-        _fenced_counts(df, columns)
+        _fenced(df, columns)
         .groupBy(STATION, "feature", "q25", "q50", "q75")
         .agg(F.min(kept).alias("whisker_low"), F.max(kept).alias("whisker_high"))
     )
@@ -99,10 +96,13 @@ def box_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
     """Equal-width bins between the extremes; the last one is closed."""
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
+    bin_ = equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
     return (
-        binned_counts(df, columns, [STATION], bins, squeeze=False)
-        .groupBy(STATION, "feature", F.col("_b").alias("bin"), (F.col("low") + F.col("_b") * width).alias("bin_from"))
-        .agg(F.sum("n").alias("count"))
+        long_values(df, columns, [STATION])
+        .join(value_edges(df, columns, [STATION]), [STATION, "feature"])
+        .groupBy(STATION, "feature", "low", width.alias("_width"), bin_.alias("bin"))
+        .agg(F.count("*").alias("count"))
+        .select(STATION, "feature", "bin", (F.col("low") + F.col("bin") * F.col("_width")).alias("bin_from"), "count")
     )
 
 
@@ -111,15 +111,26 @@ def histogram_overlay(baseline: DataFrame, current: DataFrame, columns: list[str
     both = baseline.withColumn("population", F.lit("baseline")).unionByName(
         current.withColumn("population", F.lit("current"))
     )
-    edges = value_edges(both, columns, [STATION])
     by = [STATION, "population", "feature"]
-    counts = value_counts(long_values(both, columns, [STATION, "population"]), by)
-    bin_ = value_bin(F.col("value"), F.col("low"), F.col("high"), bins, squeeze=False)
-    binned = counts.join(edges, [STATION, "feature"]).groupBy(*by, bin_.alias("bin")).agg(F.sum("n").alias("count"))
+    bin_ = equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
+    binned = (
+        long_values(both, columns, [STATION, "population"])
+        .join(value_edges(both, columns, [STATION]), [STATION, "feature"])
+        .groupBy(*by, bin_.alias("bin"))
+        .agg(F.count("*").alias("count"))
+    )
     whole = F.sum("count").over(Window.partitionBy(*by))
     return binned.withColumn("probability", F.col("count") / whole)
 
 
+def _pearson(y: str, x: str) -> list[Column]:
+    """Aggregates for ``_r``. Equal extremes tell a constant: its sums of squares are not always exactly zero."""
+    both = F.col(y).isNotNull() & F.col(x).isNotNull()
+    spread = [F.min(F.when(both, F.col(c))) < F.max(F.when(both, F.col(c))) for c in (y, x)]
+    r = ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+    return [F.when(spread[0] & spread[1], r).alias("r")]
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, over the rows where both are present.
 
@@ -134,13 +145,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
             for a, b in pairs
         ]
     )
-    sums = (
-        df.select(STATION, F.inline(wide))
-        .groupBy(STATION, "a", "b")
-        .agg(F.regr_sxy("y", "x").alias("_xy"), F.regr_sxx("y", "x").alias("_xx"), F.regr_syy("y", "x").alias("_yy"))
-    )
-    r = ratio(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-    return sums.select(STATION, "a", "b", r.alias("r"))
+    return df.select(STATION, F.inline(wide)).groupBy(STATION, "a", "b").agg(*_pearson("y", "x"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -152,12 +157,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations_with(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Correlation of each column with the target, both present."""
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
-    sums = (
-        df.select(STATION, F.col(target).cast("double").alias("_y"), F.inline(items))
-        .groupBy(STATION, "feature")
-        .agg(F.regr_sxy("_y", "x").alias("_xy"), F.regr_sxx("_y", "x").alias("_xx"), F.regr_syy("_y", "x").alias("_yy"))
-    )
-    return sums.select(STATION, "feature", ratio(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))).alias("r"))
+    rows = df.select(STATION, F.col(target).cast("double").alias("y"), F.inline(items))
+    return rows.groupBy(STATION, "feature").agg(*_pearson("y", "x"))
 
 
 def corr_ranked(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
@@ -201,7 +202,7 @@ def distribution_shape(df: DataFrame, columns: list[str] = POLLUTANTS) -> DataFr
     def corrected(c: str) -> Column:
         n = F.count(c).cast("double")
         factor = ratio(F.sqrt(F.greatest(n * (n - 1), F.lit(0.0))), n - 2)
-        return F.when(n >= 3, F.skewness(c) * factor).alias(c)
+        return F.when((n >= 3) & (F.min(c) < F.max(c)), F.skewness(c) * factor).alias(c)
 
     wide = df.groupBy(STATION).agg(*[corrected(c) for c in columns])
     long = wide.unpivot([STATION], columns, "feature", "skew")

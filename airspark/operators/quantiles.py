@@ -1,8 +1,9 @@
 """Exact quantiles without holding a group's values in one task.
 
 ``percentile`` keeps all distinct values of a group in one aggregation buffer.
-Here equal values are counted first, the counts are summed per value bin, and
-only the few bins that hold a wanted rank are sorted.
+Here values are first counted per narrow bin, which tasks do before the shuffle.
+The running counts of the bins tell which few bins hold a wanted rank, and only
+the rows of those bins are counted by value and sorted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airspark.operators.series import bucket_offsets
 from airspark.schema import STATION
 
-BINS = 1024
+BINS_PER_UNIT = 4096
 
 
 def long_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -25,17 +26,12 @@ def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
-def _squeeze(value: Column) -> Column:
-    """Monotone map, so that a few extreme values do not fill all bins but one."""
-    return F.signum(value) * F.log1p(F.abs(value))
+def value_bucket(value: Column) -> Column:
+    """Bucket of a value, non-decreasing in it; a fixed share of the value wide.
 
-
-def value_bin(value: Column, low: Column, high: Column, bins: int, squeeze: bool) -> Column:
-    """Bin number from 0, non-decreasing in ``value``; the last bin is closed."""
-    if squeeze:
-        value, low, high = _squeeze(value), _squeeze(low), _squeeze(high)
-    width = (high - low) / F.lit(float(bins))
-    return F.least(F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    It needs no statistics of the data, and extreme values do not widen it.
+    """
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(BINS_PER_UNIT)))
 
 
 def value_edges(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -46,12 +42,10 @@ def value_edges(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
     return edges.unpivot(keys, columns, "feature", "_e").select(*keys, "feature", "_e.low", "_e.high")
 
 
-def binned_counts(df: DataFrame, columns: list[str], keys: list[str], bins: int = BINS, squeeze: bool = True) -> DataFrame:
-    """Counted values with their bin ``_b``; edges come from one pass over ``df``."""
-    by = [*keys, "feature"]
-    counts = value_counts(long_values(df, columns, keys), by)
-    bin_ = value_bin(F.col("value"), F.col("low"), F.col("high"), bins, squeeze)
-    return counts.join(value_edges(df, columns, keys), by).withColumn("_b", bin_)
+def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """Bin number from 0; the last bin is closed."""
+    width = (high - low) / F.lit(float(bins))
+    return F.least(F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
 def quantiles(
@@ -64,18 +58,15 @@ def quantiles(
     """
     keys = keys or [STATION]
     by = [*keys, "feature"]
-    counts = binned_counts(df, columns, keys).drop("low", "high")
-    offsets = bucket_offsets(counts, by, {"n": F.col("n")})
+    long = long_values(df, columns, keys).withColumn("_b", value_bucket(F.col("value")))
+    offsets = bucket_offsets(long, by, {"n": F.lit(1).cast("bigint")})
     spot = {name: F.lit(p) * (F.col("n_total") - 1) for name, p in probabilities.items()}
     wanted = F.array(*[f(s).cast("bigint") for s in spot.values() for f in (F.floor, F.ceil)])
     first, last = F.col("_before_n"), F.col("_before_n") + F.col("_in_n")
     hit = offsets.where(F.exists(wanted, lambda k: (k >= first) & (k < last)))
+    near = long.join(hit, [*by, "_b"]).groupBy(*by, "_b", "_before_n", "n_total", "value").agg(F.count("*").alias("n"))
     inside = Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        counts.join(hit, [*by, "_b"])
-        .withColumn("_to", F.col("_before_n") + F.sum("n").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("n"))
-    )
+    ranked = near.withColumn("_to", F.col("_before_n") + F.sum("n").over(inside)).withColumn("_from", F.col("_to") - F.col("n"))
 
     def at(rank: Column) -> Column:
         rank = rank.cast("bigint")

@@ -60,7 +60,8 @@ def running_totals(
 
     ``bucket`` must be non-decreasing along ``order`` within a key.
     """
-    bucketed = df.withColumn("_b", bucket)
+    made = [m for n in sums for m in (n, f"{n}_total")]
+    bucketed = df.withColumn("_b", bucket).drop(*made)
     offsets = bucket_offsets(bucketed, keys, sums)
     inside = _inclusive(Window.partitionBy(*keys, "_b").orderBy(*order))
     out = bucketed.join(offsets, [*keys, "_b"]).withColumns(

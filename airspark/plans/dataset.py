@@ -35,8 +35,11 @@ class Scaler:
 
     @staticmethod
     def fit(df: DataFrame, features: list[str]) -> "Scaler":
+        # Equal extremes tell a constant: merged partial sums may leave it a tiny deviation.
+        same = {c: F.min(c) == F.max(c) for c in features}
         row = df.agg(
-            *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]
+            *[F.when(same[c], F.min(c)).otherwise(F.avg(c)).cast("double").alias(f"m_{c}") for c in features],
+            *[F.when(same[c], 0.0).otherwise(F.stddev_pop(c)).alias(f"s_{c}") for c in features],
         ).first()
         return Scaler({c: row[f"m_{c}"] for c in features}, {c: row[f"s_{c}"] or 0.0 for c in features})
 

@@ -34,7 +34,7 @@ def regression_metrics(df: DataFrame, by: list[str], actual: str = "actual", pre
             F.count("*").alias("n"),
             F.avg(F.abs(error)).alias("mae"),
             F.avg(error * error).alias("_mse"),
-            F.var_pop(a).alias("_var"),
+            F.when(F.min(a) < F.max(a), F.var_pop(a)).alias("_var"),
         )
         .withColumns({"rmse": F.sqrt("_mse"), "r2": F.lit(1.0) - ratio(F.col("_mse"), F.col("_var"))})
         .drop("_mse", "_var")

@@ -58,6 +58,7 @@ def forest(**settings) -> RandomForestRegressor:
 
 def robust_linear(**settings) -> LinearRegression:
     """Linear regression with a loss that large errors cannot dominate."""
+    settings = {"maxIter": 100, "tol": 1e-4, **settings}
     return LinearRegression(featuresCol=VECTOR, labelCol="target", loss="huber", **settings)
 
 
