@@ -12,9 +12,11 @@ from airspark.catalog.sql import OBS, RECENT_SQL, WITH_AQI
 from airspark.catalog.summaries import union_all
 from airspark.catalog.tables import BY, COLUMNS, daily_payloads
 from airspark.operators import univariate
+from airspark.operators.series import last_rows
 from airspark.plans import dataset, evaluate, explain, forecast, models
+from airspark.plans.serving import recent_state
 from airspark.schema import POLLUTANTS
-from airspark.session import scratch_path
+from airspark.session import scratch_path, written
 from airspark.sources.payload import payload_json
 from airspark.sources.store import FeatureStore
 from airspark.streaming import ingest
@@ -24,14 +26,18 @@ P = POLLUTANTS
 
 # ---- fitting --------------------------------------------------------------
 
-def split(spark, sf_dir, strategy="recursive"):
-    rows, names, scaler = dataset.training_set(rated(spark, sf_dir), strategy)
-    marked = dataset.chrono_split(rows)
+def labelled_table(spark, sf_dir):
+    return written(dataset.labelled(rated(spark, sf_dir)), "labelled")
+
+
+def split(rows):
+    scaled, names, scaler = dataset.scaled_set(rows)
+    marked = dataset.chrono_split(scaled)
     return marked.where("is_train"), marked.where(~F.col("is_train")), names, scaler
 
 
-def _fit(spark, sf_dir, name, estimator):
-    train, test, names, scaler = split(spark, sf_dir)
+def _fit(rows, name, estimator):
+    train, test, names, scaler = split(rows)
     return models.fit(name, estimator, train, names, scaler), test
 
 
@@ -44,22 +50,22 @@ def _scores(fitted, test):
 
 @query()
 def fit_gbt(spark, sf_dir):
-    return _scores(*_fit(spark, sf_dir, "gbt", models.gbt(maxIter=20, maxDepth=4)))
+    return _scores(*_fit(labelled_table(spark, sf_dir), "gbt", models.gbt(maxIter=20, maxDepth=4)))
 
 
 @query()
 def fit_rf(spark, sf_dir):
-    return _scores(*_fit(spark, sf_dir, "forest", models.forest(numTrees=40, maxDepth=8)))
+    return _scores(*_fit(labelled_table(spark, sf_dir), "forest", models.forest(numTrees=40, maxDepth=8)))
 
 
 @query()
 def fit_robust_linear(spark, sf_dir):
-    return _scores(*_fit(spark, sf_dir, "robust_linear", models.robust_linear()))
+    return _scores(*_fit(labelled_table(spark, sf_dir), "robust_linear", models.robust_linear()))
 
 
 @query()
 def random_search(spark, sf_dir):
-    train, _, names, scaler = split(spark, sf_dir)
+    train, _, names, scaler = split(labelled_table(spark, sf_dir))
     _, report = models.random_search("robust_linear", models.robust_linear(), models.LINEAR_GRID, train, names, scaler, n_iter=3)
     return spark.createDataFrame(report, "settings string, rmse double")
 
@@ -99,13 +105,13 @@ def forecast_harmonic(spark, sf_dir):
 
 # ---- use of a model -------------------------------------------------------
 
-def linear_model(spark, sf_dir):
-    return _fit(spark, sf_dir, "robust_linear", models.robust_linear())[0]
+def linear_model(rows):
+    return _fit(rows, "robust_linear", models.robust_linear())[0]
 
 
 @query()
 def register_model(spark, sf_dir):
-    fitted, test = _fit(spark, sf_dir, "robust_linear", models.robust_linear())
+    fitted, test = _fit(labelled_table(spark, sf_dir), "robust_linear", models.robust_linear())
     metrics = _scores(fitted, test).first().asDict()
     root = scratch_path(spark, "models")
     models.register(spark, root, fitted, metrics)
@@ -116,38 +122,33 @@ def register_model(spark, sf_dir):
 
 @query()
 def score_batch(spark, sf_dir):
-    rows = dataset.labelled(rated(spark, sf_dir))
-    return linear_model(spark, sf_dir).predict(rows)
-
-
-def _states(spark, sf_dir):
-    from airspark.plans.serving import recent_state
-
-    return recent_state(dataset.labelled(rated(spark, sf_dir)), fx.NOW).drop("aqi")
+    rows = labelled_table(spark, sf_dir)
+    return linear_model(rows).predict(rows)
 
 
 @query()
 def recursive_forecast(spark, sf_dir):
-    return forecast.forecast_rows(forecast.recursive_forecast(_states(spark, sf_dir), linear_model(spark, sf_dir)))
+    rows = labelled_table(spark, sf_dir)
+    return forecast.forecast_rows(forecast.recursive_forecast(recent_state(rows, fx.NOW), linear_model(rows)))
 
 
 @query()
 def recursive_forecast_trees(spark, sf_dir):
-    fitted, _ = _fit(spark, sf_dir, "gbt", models.gbt(maxIter=10, maxDepth=3))
-    return forecast.forecast_rows(forecast.recursive_forecast(_states(spark, sf_dir), fitted))
+    rows = labelled_table(spark, sf_dir)
+    fitted, _ = _fit(rows, "gbt", models.gbt(maxIter=10, maxDepth=3))
+    return forecast.forecast_rows(forecast.recursive_forecast(recent_state(rows, fx.NOW), fitted))
 
 
 @query()
 def backtest_t72(spark, sf_dir):
-    fitted = linear_model(spark, sf_dir)
-    rows = dataset.chrono_split(dataset.labelled(rated(spark, sf_dir)))
-    return forecast.backtest_t72(rows, ~F.col("is_train"), fitted)
+    rows = labelled_table(spark, sf_dir)
+    return forecast.backtest_t72(dataset.chrono_split(rows), ~F.col("is_train"), linear_model(rows))
 
 
 @query()
 def live_metrics(spark, sf_dir):
-    rows = dataset.labelled(rated(spark, sf_dir))
-    return forecast.live_metrics(fx.actual(rows), linear_model(spark, sf_dir))
+    rows = labelled_table(spark, sf_dir)
+    return forecast.live_metrics(fx.actual(rows), linear_model(rows))
 
 
 # ---- explanation ----------------------------------------------------------
@@ -160,7 +161,7 @@ WEIGHTS = {
 
 
 def _fixed_linear(spark, sf_dir):
-    rows = dataset.labelled(rated(spark, sf_dir))
+    rows = labelled_table(spark, sf_dir)
     means = dataset.Scaler.fit(rows, list(WEIGHTS)).mean
     return explain.linear_attribution(rows, WEIGHTS, means, ["station_id", "ts"])
 
@@ -188,9 +189,7 @@ _NAMES_SQL = "case feature " + " ".join(f"when '{k}' then '{v}'" for k, v in exp
        f" select station_id, cast(k as int) place, {_NAMES_SQL} feature, {q6('value')} \"value\", {q6('impact')} impact, {q6('abs(impact)')} abs_impact,"
        " case when impact > 0 then 'Pushing Up' else 'Pulling Down' end direction from r where k <= 10")
 def top_drivers(spark, sf_dir):
-    from airspark.operators.series import last_rows
-
-    rows = dataset.labelled(rated(spark, sf_dir))
+    rows = labelled_table(spark, sf_dir)
     means = dataset.Scaler.fit(rows, list(WEIGHTS)).mean
     newest = explain.linear_attribution(last_rows(rows, 1), WEIGHTS, means, ["station_id", "ts"])
     return rounded(explain.top_drivers(newest), "value", "impact", "abs_impact")
@@ -205,15 +204,12 @@ def corr_impact(spark, sf_dir):
 
 
 def _explained(spark, sf_dir):
-    fitted, test = _fit(spark, sf_dir, "gbt", models.gbt(maxIter=10, maxDepth=3))
-    train, _, _, _ = split(spark, sf_dir)
-    return fitted, train, test
+    train, test, names, scaler = split(labelled_table(spark, sf_dir))
+    return models.fit("gbt", models.gbt(maxIter=10, maxDepth=3), train, names, scaler), train, test
 
 
 @query()
 def shapley_local(spark, sf_dir):
-    from airspark.operators.series import last_rows
-
     fitted, train, test = _explained(spark, sf_dir)
     return explain.shapley(last_rows(test, 1), train, fitted, ["station_id", "ts"])
 
@@ -227,8 +223,6 @@ def shapley_global(spark, sf_dir):
 
 @query()
 def lime_local(spark, sf_dir):
-    from airspark.operators.series import last_rows
-
     fitted, _, test = _explained(spark, sf_dir)
     return explain.lime(last_rows(test, 1), fitted, ["station_id", "ts"])
 

@@ -45,16 +45,16 @@ def drift_metrics(
     both = _both(baseline, current, columns)
     spread = quantiles(both, columns, {"p05": 0.05, "median": 0.5, "p95": 0.95}, [STATION, _BASE])
     stats = _moments(both, columns).join(spread, [STATION, _BASE, "feature"])
-    base = stats.where(F.col(_BASE)).select(
-        *by, *[F.col(c).alias(f"base_{c}") for c in ("mean", "std", "median", "p05", "p95")]
+    pair = stats.groupBy(*by).agg(
+        *[F.max(F.when(F.col(_BASE), F.col(c))).alias(f"base_{c}") for c in ("mean", "std", "median", "p05", "p95")],
+        *[F.max(F.when(~F.col(_BASE), F.col(c))).alias(f"current_{c}") for c in ("mean", "std", "median")],
     )
-    now = stats.where(~F.col(_BASE)).select(*by, *[F.col(c).alias(f"current_{c}") for c in ("mean", "std", "median")])
-    pair = base.join(now, by)
-    values = long_values(current, columns, [STATION])
+    # The grouping keys carry the statistics along: one pass over the current values.
     below_or_above = (F.col("value") < F.col("base_p05")) | (F.col("value") > F.col("base_p95"))
-    outside = (
-        values.join(base.select(*by, "base_p05", "base_p95"), by)
-        .groupBy(*by)
+    out = (
+        long_values(current, columns, [STATION])
+        .join(pair.where(F.col("base_mean").isNotNull()), by)
+        .groupBy(*pair.columns)
         .agg((F.count_if(below_or_above) / F.count("*")).alias("outside_share"))
     )
     c = F.col
@@ -62,7 +62,7 @@ def drift_metrics(
     limit = F.lit(THRESHOLD)
     for name, value in (THRESHOLDS if thresholds is None else thresholds).items():
         limit = F.when(c("feature") == name, F.lit(value)).otherwise(limit)
-    out = pair.join(outside, by).withColumns(
+    out = out.withColumns(
         {
             "threshold": limit,
             "mean_diff": ratio(gap, c("base_std") + EPSILON),

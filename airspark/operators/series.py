@@ -124,7 +124,8 @@ def row_windowed(
     blocks = (
         numbered(df, keys, order, bucket, name="_rn")
         .withColumn("_own", own)
-        .withColumn("_block", F.explode(F.array_compact(F.array(*homes))))
+        .withColumn("_block", F.explode(F.array(*homes)))
+        .where(F.col("_block").isNotNull())
     )
     window = Window.partitionBy(*keys, "_block").orderBy("_rn")
     out = blocks.withColumns(build(window)).where(F.col("_block") == F.col("_own"))
@@ -158,7 +159,8 @@ def range_windowed(
     slices = (
         df.withColumn("_us", micros(F.col(ts)))
         .withColumn("_own", own)
-        .withColumn("_slice", F.explode(F.array_compact(F.array(*homes))))
+        .withColumn("_slice", F.explode(F.array(*homes)))
+        .where(F.col("_slice").isNotNull())
     )
     window = Window.partitionBy(*keys, "_slice").orderBy("_us")
     out = slices.withColumns(build(window)).where(F.col("_slice") == F.col("_own"))

@@ -10,6 +10,7 @@ from airspark.operators.features import full_features
 from airspark.operators.quality import complete_rows
 from airspark.operators.series import numbered
 from airspark.schema import FEATURES, OPTIONAL_FEATURE, STATION, TS
+from airspark.session import written
 
 TRAIN_SHARE = 0.8
 FOLDS = 3
@@ -43,6 +44,9 @@ class Scaler:
         ).first()
         return Scaler({c: row[f"m_{c}"] for c in features}, {c: row[f"s_{c}"] or 0.0 for c in features})
 
+    def only(self, names: list[str]) -> "Scaler":
+        return Scaler({n: self.mean[n] for n in names}, {n: self.std[n] for n in names})
+
     def divisor(self, feature: str) -> float:
         """A constant feature is only centred."""
         return self.std[feature] or 1.0
@@ -61,18 +65,25 @@ def labelled(df: DataFrame, strategy: str = "recursive", subset: list[str] | Non
     return complete_rows(full_features(df, target=strategy, **how), subset)
 
 
-def training_set(df: DataFrame, strategy: str = "recursive", fit_on: str = "all", **how) -> tuple[DataFrame, list[str], Scaler]:
-    """Scaled inputs with target, the input names, and the scaler.
+def scaled_set(rows: DataFrame, fit_on: str = "all") -> tuple[DataFrame, list[str], Scaler]:
+    """Scaled inputs with target, the input names, and the scaler, from labelled rows.
 
     ``fit_on="train"`` fits the scaler on the training part only.
     """
-    rows = labelled(df, strategy, **how)
-    names = feature_select(rows)
     basis = chrono_split(rows).where("is_train") if fit_on == "train" else rows
-    scaler = Scaler.fit(basis, names)
+    # One pass finds the scale of every candidate and whether the optional one has values.
+    candidates = [f for f in [*FEATURES, OPTIONAL_FEATURE] if f in rows.columns]
+    scaler = Scaler.fit(basis, candidates)
+    names = [f for f in candidates if f != OPTIONAL_FEATURE or scaler.mean[f] is not None]
+    scaler = scaler.only(names)
     return scaler.transform(rows.select(STATION, TS, *names, "target")), names, scaler
 
 
+def training_set(df: DataFrame, strategy: str = "recursive", fit_on: str = "all", **how) -> tuple[DataFrame, list[str], Scaler]:
+    """``scaled_set`` of observations. The labelled rows are written once and read by each pass."""
+    return scaled_set(written(labelled(df, strategy, **how), "labelled"), fit_on)
+
+
 def chrono_split(df: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     """Mark the first part of each series for training, and the same part of that for tuning."""
     split = numbered(df)

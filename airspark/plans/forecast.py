@@ -8,7 +8,7 @@ from airspark.functions.timefn import add_hours
 from airspark.operators.series import last_rows, row_windowed
 from airspark.plans.evaluate import actual_ahead, live_scores, regression_metrics
 from airspark.plans.models import Fitted, assemble, raw_weights
-from airspark.plans.serving import KEEP, serving_columns
+from airspark.plans.serving import KEEP, day_sums, serving_columns
 from airspark.schema import POLLUTANTS, STATION, TS
 from airspark.session import use_checkpoints
 
@@ -38,8 +38,8 @@ def _moved(prediction: Column, state: dict[str, Column]) -> dict[str, Column]:
 
 
 def _appended(hist: Column, prediction: Column) -> Column:
-    longer = F.concat(hist, F.array(prediction))
-    return F.when(F.size(longer) > KEEP, F.slice(longer, -KEEP, KEEP)).otherwise(longer)
+    kept = F.when(F.size(hist) >= KEEP, F.slice(hist, -(KEEP - 1), KEEP - 1)).otherwise(hist)
+    return F.concat(kept, F.array(prediction))
 
 
 def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:
@@ -49,7 +49,9 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
 
     def advance(acc: Column, k: Column) -> Column:
         values = {p: acc[p] for p in POLLUTANTS}
-        features = serving_columns(acc["hist"], {**values, **extra}, add_hours(F.col(TS), k))
+        hist, total, squares = acc["hist"], acc["total"], acc["squares"]
+        features = serving_columns(hist, {**values, **extra}, add_hours(F.col(TS), k), (total, squares))
+        leaving = F.coalesce(F.try_element_at(hist, F.lit(-24)), F.lit(0.0))
         guess = F.lit(start)
         for name, weight in weights.items():
             guess = guess + F.lit(weight) * features[name]
@@ -57,17 +59,26 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
         # One-element arrays bind the prediction, so that it is computed once.
         def next_state(y: Column) -> Column:
             return F.struct(
-                _appended(acc["hist"], y).alias("hist"),
+                _appended(hist, y).alias("hist"),
+                (total + y - leaving).alias("total"),
+                (squares + y * y - leaving * leaving).alias("squares"),
                 *[c.alias(p) for p, c in _moved(y, values).items()],
                 F.concat(acc["out"], F.array(y)).alias("out"),
             )
 
         return F.get(F.transform(F.array(guess), next_state), F.lit(0))
 
+    total, squares = day_sums(F.col("hist"))
     zero = F.struct(
-        F.col("hist"), *[F.col(p) for p in POLLUTANTS], F.array().cast("array<double>").alias("out")
+        F.col("hist"),
+        total.alias("total"),
+        squares.alias("squares"),
+        *[F.col(p) for p in POLLUTANTS],
+        F.array().cast("array<double>").alias("out"),
     )
-    return states.withColumn("forecast", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, advance, lambda a: a["out"]))
+    # Small rows, much work per row: as many tasks as the session has partitions.
+    tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return states.repartition(tasks, STATION, TS).withColumn("forecast", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, advance, lambda a: a["out"]))
 
 
 def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:

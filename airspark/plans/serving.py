@@ -31,11 +31,21 @@ def recent_state(df: DataFrame, now, rate: str | None = "aqi_change_rate", histo
     )
 
 
-def serving_columns(hist: Column, current: dict[str, Column], at: Column) -> dict[str, Column]:
+def day_sums(hist: Column) -> tuple[Column, Column]:
+    """Sum and sum of squares of the last 24 values."""
+    last_day = F.slice(hist, -24, 24)
+    zero = F.lit(0.0)
+    return F.aggregate(last_day, zero, lambda a, x: a + x), F.aggregate(last_day, zero, lambda a, x: a + x * x)
+
+
+def serving_columns(
+    hist: Column, current: dict[str, Column], at: Column, sums: tuple[Column, Column] | None = None
+) -> dict[str, Column]:
     """All features of one prediction as expressions.
 
     ``current`` maps the pollutants, and the change rate if known, to the
-    current values; ``at`` is the hour the calendar features describe.
+    current values; ``at`` is the hour the calendar features describe. ``sums``
+    gives ``day_sums`` where the caller keeps them up to date itself.
     """
     now = current["pm2_5"]
     n = F.size(hist)
@@ -52,10 +62,9 @@ def serving_columns(hist: Column, current: dict[str, Column], at: Column) -> dic
     out["diff_24h"] = F.when(day, now - back(24)).otherwise(zero)
     out["diff_1h_acc"] = F.when(day, (now - back(1)) - (back(1) - back(2))).otherwise(zero)
     out["recent_hour_avg"] = (out["pm2_5_lag24"] + out["pm2_5_lag48"] + out["pm2_5_lag72"]) / 3.0
-    last_day = F.slice(hist, -24, 24)
-    mean = F.aggregate(last_day, zero, lambda a, x: a + x) / 24.0
-    square = F.aggregate(last_day, zero, lambda a, x: a + x * x) / 24.0
-    variance = F.greatest(square - mean * mean, zero) * (24.0 / 23.0)
+    total, squares = sums or day_sums(hist)
+    mean = total / 24.0
+    variance = F.greatest(squares / 24.0 - mean * mean, zero) * (24.0 / 23.0)
     out["pm2_5_rolling_mean_24h"] = F.when(day, mean).otherwise(now)
     out["pm2_5_rolling_std_24h"] = F.when(day, F.sqrt(variance)).otherwise(zero)
     hour, month = F.hour(at), F.month(at)
