@@ -107,12 +107,13 @@ def aqi_particles(pm2_5: str = "pm2_5", pm10: str = "pm10") -> Column:
 def pm25_to_aqi(pm2_5: Column) -> Column:
     """PM2.5-only index: truncated, extended above the table, capped."""
     x = F.greatest(F.lit(0.0), F.nanvl(pm2_5, F.lit(0.0)))
-    value = F.when(pm2_5.isNull(), F.lit(None).cast("double"))
+    value = F
     for low, high, base, rise in PM_SEGMENTS:
         value = value.when(x <= high, F.lit(base) + (x - F.lit(low)) / F.lit(high - low) * F.lit(rise))
     low, high, base, rise = PM_TAIL
     tail = F.lit(base) + (x - F.lit(low)) / F.lit(high - low) * F.lit(rise)
-    return F.least(F.lit(PM_CAP), F.floor(value.otherwise(tail)).cast("int"))
+    capped = F.least(F.lit(PM_CAP), F.floor(value.otherwise(tail)).cast("int"))
+    return F.when(pm2_5.isNotNull(), capped)
 
 
 def _bands(value: Column, bands, top: str) -> Column:

@@ -37,7 +37,9 @@ def add_hours(ts: Column, hours: Column) -> Column:
 
 def naive_utc(text: Column) -> Column:
     """Timestamp text with or without an offset to UTC wall-clock time."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    # An offset right after the minutes is not understood by the cast.
+    seconds = F.regexp_replace(text, r"^(.{10}[T ]\d\d:\d\d)([+\-Z].*)$", "$1:00$2")
+    return seconds.try_cast("timestamp").cast("timestamp_ntz")
 
 
 def weekday(ts: Column) -> Column:

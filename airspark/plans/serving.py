@@ -32,8 +32,8 @@ def recent_state(df: DataFrame, now, rate: str | None = "aqi_change_rate", histo
 
 
 def day_sums(hist: Column) -> tuple[Column, Column]:
-    """Sum and sum of squares of the last 24 values."""
-    last_day = F.slice(hist, -24, 24)
+    """Sum and sum of squares of the last 24 values, or of all if there are fewer."""
+    last_day = F.slice(hist, F.greatest(F.size(hist) - 23, F.lit(1)), F.lit(24))
     zero = F.lit(0.0)
     return F.aggregate(last_day, zero, lambda a, x: a + x), F.aggregate(last_day, zero, lambda a, x: a + x * x)
 
