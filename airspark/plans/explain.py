@@ -162,11 +162,10 @@ def correlation_impact(df: DataFrame, features: list[str], target: str = "pm2_5"
 
 def with_fallback(attributions: DataFrame, fallback: DataFrame) -> DataFrame:
     """The fallback's impact for stations all of whose attributions are tiny."""
-    w = Window.partitionBy(STATION)
-    silent = F.max(F.abs("impact")).over(w) < TINY
+    silent = attributions.groupBy(STATION).agg((F.max(F.abs("impact")) < TINY).alias("is_heuristic"))
     other = fallback.select(STATION, "feature", F.col("impact").alias("_f"))
     return (
-        attributions.withColumn("is_heuristic", silent)
+        attributions.join(silent, STATION)
         .join(other, [STATION, "feature"], "left")
         .withColumn("impact", F.when(F.col("is_heuristic"), F.coalesce("_f", F.lit(0.0))).otherwise(F.col("impact")))
         .drop("_f")

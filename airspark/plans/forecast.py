@@ -8,7 +8,7 @@ from airspark.functions.timefn import add_hours
 from airspark.operators.series import last_rows, row_windowed
 from airspark.plans.evaluate import actual_ahead, live_scores, regression_metrics
 from airspark.plans.models import Fitted, assemble, raw_weights
-from airspark.plans.serving import KEEP, day_sums, serving_columns
+from airspark.plans.serving import KEEP, calendar_columns, day_sums, history_columns, serving_columns
 from airspark.schema import POLLUTANTS, STATION, TS
 from airspark.session import use_checkpoints
 
@@ -47,14 +47,19 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
     start, weights = raw_weights(fitted)
     extra = {"aqi_change_rate": F.col("aqi_change_rate")} if "aqi_change_rate" in states.columns else {}
 
-    def advance(acc: Column, k: Column) -> Column:
+    # The calendar's part of each prediction does not depend on the recursion.
+    def calendar_part(at: Column) -> Column:
+        features = calendar_columns(at)
+        return sum((F.lit(w) * features[n] for n, w in weights.items() if n in features), F.lit(start))
+
+    hours = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: add_hours(F.col(TS), k))
+
+    def advance(acc: Column, known: Column) -> Column:
         values = {p: acc[p] for p in POLLUTANTS}
         hist, total, squares = acc["hist"], acc["total"], acc["squares"]
-        features = serving_columns(hist, {**values, **extra}, add_hours(F.col(TS), k), (total, squares))
+        features = history_columns(hist, {**values, **extra}, (total, squares))
         leaving = F.coalesce(F.try_element_at(hist, F.lit(-24)), F.lit(0.0))
-        guess = F.lit(start)
-        for name, weight in weights.items():
-            guess = guess + F.lit(weight) * features[name]
+        guess = sum((F.lit(w) * features[n] for n, w in weights.items() if n in features), known)
 
         # One-element arrays bind the prediction, so that it is computed once.
         def next_state(y: Column) -> Column:
@@ -78,7 +83,7 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
     )
     # Small rows, much work per row: as many tasks as the session has partitions.
     tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return states.repartition(tasks, STATION, TS).withColumn("forecast", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, advance, lambda a: a["out"]))
+    return states.repartition(tasks, STATION, TS).withColumn("forecast", F.aggregate(F.transform(hours, calendar_part), zero, advance, lambda a: a["out"]))
 
 
 def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:

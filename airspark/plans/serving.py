@@ -38,14 +38,31 @@ def day_sums(hist: Column) -> tuple[Column, Column]:
     return F.aggregate(last_day, zero, lambda a, x: a + x), F.aggregate(last_day, zero, lambda a, x: a + x * x)
 
 
-def serving_columns(
-    hist: Column, current: dict[str, Column], at: Column, sums: tuple[Column, Column] | None = None
+def calendar_columns(at: Column) -> dict[str, Column]:
+    """Features that only depend on the hour described."""
+    hour, month = F.hour(at), F.month(at)
+    hour_sin, hour_cos = cyclic(hour, 24)
+    month_sin, month_cos = cyclic(month, 12)
+    return {
+        "hour_sin": hour_sin,
+        "hour_cos": hour_cos,
+        "hour_raw": hour,
+        "month_sin": month_sin,
+        "month_cos": month_cos,
+        "month": month,
+        "day": F.dayofmonth(at),
+        "is_weekend": is_weekend(at),
+    }
+
+
+def history_columns(
+    hist: Column, current: dict[str, Column], sums: tuple[Column, Column] | None = None
 ) -> dict[str, Column]:
-    """All features of one prediction as expressions.
+    """Features of the values up to now.
 
     ``current`` maps the pollutants, and the change rate if known, to the
-    current values; ``at`` is the hour the calendar features describe. ``sums``
-    gives ``day_sums`` where the caller keeps them up to date itself.
+    current values. ``sums`` gives ``day_sums`` where the caller keeps them up
+    to date itself.
     """
     now = current["pm2_5"]
     n = F.size(hist)
@@ -67,10 +84,6 @@ def serving_columns(
     variance = F.greatest(squares / 24.0 - mean * mean, zero) * (24.0 / 23.0)
     out["pm2_5_rolling_mean_24h"] = F.when(day, mean).otherwise(now)
     out["pm2_5_rolling_std_24h"] = F.when(day, F.sqrt(variance)).otherwise(zero)
-    hour, month = F.hour(at), F.month(at)
-    out["hour_sin"], out["hour_cos"] = cyclic(hour, 24)
-    out["month_sin"], out["month_cos"] = cyclic(month, 12)
-    out.update({"hour_raw": hour, "month": month, "day": F.dayofmonth(at), "is_weekend": is_weekend(at)})
     if "aqi_change_rate" in current:
         out["aqi_change_rate"] = current["aqi_change_rate"]
     else:
@@ -80,6 +93,11 @@ def serving_columns(
     return out
 
 
+def serving_columns(hist: Column, current: dict[str, Column], at: Column) -> dict[str, Column]:
+    """All features of one prediction; ``at`` is the hour the calendar features describe."""
+    return {**history_columns(hist, current), **calendar_columns(at)}
+
+
 def serving_features(state: DataFrame, ahead_hours: int = 1) -> DataFrame:
     """Features of each station for the hour ``ahead_hours`` after its current row."""
     names = [*POLLUTANTS] + (["aqi_change_rate"] if "aqi_change_rate" in state.columns else [])
