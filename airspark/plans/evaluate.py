@@ -26,16 +26,18 @@ def actual_ahead(df: DataFrame, hours: int = 72, value: str = "pm2_5", name: str
 def regression_metrics(df: DataFrame, by: list[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """MAE, RMSE and R² in one pass with map-side sums."""
     a, p = F.col(actual), F.col(predicted)
-    error = a - p
-    scored = df.where(a.isNotNull() & p.isNotNull())
+    # Conditions inside the aggregates instead of a filter: a filter on the
+    # prediction would be pushed down and compute costly predictions twice.
+    scored = df.withColumns({"_e": a - p, "_a": F.when(p.isNotNull(), a)})
     return (
         scored.groupBy(*by)
         .agg(
-            F.count("*").alias("n"),
-            F.avg(F.abs(error)).alias("mae"),
-            F.avg(error * error).alias("_mse"),
-            F.when(F.min(a) < F.max(a), F.var_pop(a)).alias("_var"),
+            F.count("_e").alias("n"),
+            F.avg(F.abs("_e")).alias("mae"),
+            F.avg(F.col("_e") * F.col("_e")).alias("_mse"),
+            F.when(F.min("_a") < F.max("_a"), F.var_pop("_a")).alias("_var"),
         )
+        .where(F.col("n") > 0)
         .withColumns({"rmse": F.sqrt("_mse"), "r2": F.lit(1.0) - ratio(F.col("_mse"), F.col("_var"))})
         .drop("_mse", "_var")
     )
