@@ -28,7 +28,7 @@ from airspark.session import written
 CAPACITY = 2048
 END_ID = 1
 #: Lengths are rounded up to this many tokens in the linear program.
-GRAIN = 4
+GRAIN = 8
 #: Rows that a task ranks at once.
 RANK_ROWS = 50_000
 #: Words whose ids a task remembers.
@@ -100,13 +100,13 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), counts
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4) -> list[tuple[np.ndarray, int]]:
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """Patterns (item counts by class) and how often each is used, covering ``demand`` exactly.
 
-    A revised simplex keeps the inverse of the basis; it ends when the price of the
-    best new pattern proves the program within ``gap`` of its optimum. Counts are
-    rounded down, and the few items left are placed best fit, largest first.
-    ``sizes`` is ascending.
+    A revised simplex keeps the inverse of the basis. It ends within ``gap`` of the best
+    bound that its prices have proved so far (the bound starts at total size over
+    capacity). Counts are rounded down, and the few items left are placed best fit,
+    largest first. ``sizes`` is ascending.
     """
     m = len(sizes)
     if not m:
@@ -114,10 +114,12 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     basis = np.diag(capacity // sizes).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(basis))
     amount = inverse @ demand.astype(float)
-    while True:
+    bound = float(sizes @ demand) / capacity
+    while amount.sum() > bound * (1 + gap):
         prices = np.maximum(inverse.sum(axis=0), 0.0)
         worth, column = best_pattern(prices, sizes, capacity)
-        if worth <= 1 + gap:
+        bound = max(bound, float(prices @ demand) / worth)
+        if worth <= 1 + 1e-7:
             break
         move = inverse @ column
         ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1.0), np.inf)
