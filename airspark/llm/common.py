@@ -34,6 +34,8 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What ends a word made of letters and digits: all ASCII characters but those.
+_NO_LETTER = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -47,23 +49,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where the words of each text begin (one entry more than texts).
 
     Words are runs of bytes other than ASCII white space, with A-Z in lower case.
-    A null text has no words.
+    A null text has no words. With ``letters``, all ASCII punctuation ends a word too.
     """
     texts = pa.array(texts).cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     if texts.null_count:
-        return word_hashes(pc.fill_null(texts, ""))
+        return word_hashes(pc.fill_null(texts, ""), letters)
     data = texts.buffers()[2]
     if data is None or offsets[-1] == offsets[0]:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
-    solid = ~_SPACE[raw]
+    solid = ~(_NO_LETTER if letters else _SPACE)[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     first = at[:-1][at[:-1] < at[1:]]

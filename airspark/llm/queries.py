@@ -7,8 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airspark.llm.chat import chat_digest, format_chats
 from airspark.llm.common import table
+from airspark.llm.decontaminate import leaked_passages
 from airspark.llm.packing import pack
+from airspark.llm.pii import personal_spans, pii_digest
+from airspark.llm.secrets import secret_spans
+from airspark.llm.topk import top_products, vectors
+from airspark.llm.warc import archive_pages
 from airspark.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +42,94 @@ TOKENIZER = "word_bpe_49k.json"
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+#: The strings of the chat template that the SQL below counts: start, and around each role's text.
+OP2_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2')) AS body,
+    CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 5 + 4
+      ELSE 6 + 7 + 6 + length(replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2')) END AS around
+  FROM rows
+), fsm AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
+  FROM sized
+), told AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(body + around))::bigint AS formatted_chars,
+    count(*) FILTER (NOT coalesce(CASE role WHEN 'system' THEN prior IS NULL
+      WHEN 'user' THEN prior IS NULL OR prior IN ('system', 'assistant')
+      WHEN 'assistant' THEN prior = 'user' END, FALSE))::int AS violations,
+    max(role) FILTER (from_end = 1) = 'assistant' AS ends_well
+  FROM fsm GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, violations,
+  violations = 0 AND ends_well AS complete FROM told
+"""
+
+
+@query(OP2_SQL)
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings, read back from the output."""
+    hard = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat_digest(format_chats(rows))
+
+
+@query(
+    """
+SELECT page_id, strlen(h)::bigint AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to
+FROM (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN nullif(max(page_id) OVER (PARTITION BY h), page_id) END AS refers
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as deduplicated archives and read back."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii_digest(personal_spans(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it covers by half or more."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, also inside nested encodings."""
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, (row_number() OVER w)::int AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+)
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every 50th vector with all others."""
+    return top_products(vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
