@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airspark.llm.chat import chat_digest, format_chats
 from airspark.llm.common import table
 from airspark.llm.decontaminate import leaked_passages
+from airspark.llm.jaccard import similar_documents
 from airspark.llm.packing import pack
 from airspark.llm.pii import personal_spans, pii_digest
 from airspark.llm.secrets import secret_spans
@@ -126,10 +127,17 @@ WITH v AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 )
-SELECT query_id, (row_number() OVER w)::int AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM s
+) WHERE rank <= 5
 """
 )
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best products of every 50th vector with all others."""
     return top_products(vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+@query()
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of all documents."""
+    return similar_documents(table(spark, sf_dir, "documents"))
