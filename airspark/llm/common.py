@@ -50,19 +50,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    (whole,), counts = word_parts(texts, letters)
+    return whole, counts
+
+
+def word_parts(texts: pa.Array, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of all words, and where the words of each text begin (one entry more than texts).
 
     Words are runs of bytes other than ASCII white space, with A-Z in lower case.
     A null text has no words. With ``letters``, all ASCII punctuation ends a word too.
+    The first array is for whole words, the others for their first bytes, as many as
+    ``prefixes`` say (the whole word where it is shorter).
     """
     texts = pa.array(texts).cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     if texts.null_count:
-        return word_hashes(pc.fill_null(texts, ""), letters)
+        return word_parts(pc.fill_null(texts, ""), letters, prefixes)
     data = texts.buffers()[2]
     if data is None or offsets[-1] == offsets[0]:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+        return [np.empty(0, np.uint64)] * (1 + len(prefixes)), np.zeros(n + 1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
     solid = ~(_NO_LETTER if letters else _SPACE)[raw]
@@ -72,7 +79,7 @@ def word_hashes(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.
     begins[first] = solid[first]  # a word ends where its text ends
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+        return [np.empty(0, np.uint64)] * (1 + len(prefixes)), np.zeros(n + 1, np.int64)
     counts = np.searchsorted(starts, at)
     place = np.arange(starts[0], len(raw), dtype=np.int64)
     place -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
@@ -83,7 +90,12 @@ def word_hashes(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.
     values = _LOWER[raw[starts[0] :]] + np.uint64(1)
     values *= powers[np.minimum(place, longest - 1)]
     values[~solid[starts[0] :]] = 0
-    return mix(np.add.reduceat(values, starts - starts[0])), counts
+    at = starts - starts[0]
+    parts = [mix(np.add.reduceat(values, at))]
+    for size in sorted(prefixes, reverse=True):
+        values[place >= size] = 0
+        parts.insert(1, mix(np.add.reduceat(values, at)))
+    return parts, counts
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

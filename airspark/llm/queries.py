@@ -15,6 +15,7 @@ from airspark.llm.packing import pack
 from airspark.llm.pii import personal_spans, pii_digest
 from airspark.llm.secrets import secret_spans
 from airspark.llm.topk import top_products, vectors
+from airspark.llm.toxicity import score_all
 from airspark.llm.warc import archive_pages
 from airspark.session import prepare
 
@@ -141,3 +142,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of all documents."""
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labels of two thirds of the ids."""
+    return score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
