@@ -11,6 +11,7 @@ from airspark.llm.chat import chat_digest, format_chats
 from airspark.llm.common import table
 from airspark.llm.decontaminate import leaked_passages
 from airspark.llm.jaccard import similar_documents
+from airspark.llm.lines import line_report
 from airspark.llm.packing import pack
 from airspark.llm.pii import personal_spans, pii_digest
 from airspark.llm.secrets import secret_spans
@@ -148,3 +149,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from the labels of two thirds of the ids."""
     return score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines of all documents."""
+    return line_report(table(spark, sf_dir, "documents"))
