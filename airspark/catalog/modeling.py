@@ -10,8 +10,10 @@ from airspark.catalog.learning import INPUTS, LABELLED_SQL, W, rated
 from airspark.catalog.registry import q6, query, rounded
 from airspark.catalog.sql import OBS, RECENT_SQL, WITH_AQI
 from airspark.catalog.summaries import union_all
+from airspark.catalog.values import _RATE as RATE_SQL
 from airspark.catalog.tables import BY, COLUMNS, daily_payloads
 from airspark.operators import univariate
+from airspark.operators.features import full_features
 from airspark.operators.series import last_rows
 from airspark.plans import dataset, evaluate, explain, forecast, models
 from airspark.plans.serving import recent_state
@@ -66,7 +68,7 @@ def fit_robust_linear(spark, sf_dir):
 @query()
 def random_search(spark, sf_dir):
     train, _, names, scaler = split(labelled_table(spark, sf_dir))
-    _, report = models.random_search("robust_linear", models.robust_linear(), models.LINEAR_GRID, train, names, scaler, n_iter=3)
+    _, report = models.random_search("robust_linear", models.robust_linear(), models.LINEAR_GRID, train, names, scaler, n_iter=15)
     return spark.createDataFrame(report, "settings string, rmse double")
 
 
@@ -122,21 +124,24 @@ def register_model(spark, sf_dir):
 
 @query()
 def score_batch(spark, sf_dir):
-    rows = labelled_table(spark, sf_dir)
-    return linear_model(rows).predict(rows)
+    known = labelled_table(spark, sf_dir)
+    # Every stored row is scored, whether or not its next value is known.
+    return linear_model(known).predict(full_features(rated(spark, sf_dir)))
 
 
 @query()
 def recursive_forecast(spark, sf_dir):
-    rows = labelled_table(spark, sf_dir)
-    return forecast.forecast_rows(forecast.recursive_forecast(recent_state(rows, fx.NOW), linear_model(rows)))
+    model = linear_model(labelled_table(spark, sf_dir))
+    state = recent_state(rated(spark, sf_dir), fx.NOW)
+    return forecast.forecast_rows(forecast.or_last_value(forecast.recursive_forecast(state, model)))
 
 
 @query()
 def recursive_forecast_trees(spark, sf_dir):
     rows = labelled_table(spark, sf_dir)
     fitted, _ = _fit(rows, "gbt", models.gbt(maxIter=10, maxDepth=3))
-    return forecast.forecast_rows(forecast.recursive_forecast(recent_state(rows, fx.NOW), fitted))
+    state = recent_state(rated(spark, sf_dir), fx.NOW)
+    return forecast.forecast_rows(forecast.or_last_value(forecast.recursive_forecast(state, fitted)))
 
 
 @query()
@@ -148,7 +153,7 @@ def backtest_t72(spark, sf_dir):
 @query()
 def live_metrics(spark, sf_dir):
     rows = labelled_table(spark, sf_dir)
-    return forecast.live_metrics(fx.actual(rows), linear_model(rows))
+    return forecast.live_metrics(fx.actual(rated(spark, sf_dir)), linear_model(rows))
 
 
 # ---- explanation ----------------------------------------------------------
@@ -217,8 +222,7 @@ def shapley_local(spark, sf_dir):
 @query()
 def shapley_global(spark, sf_dir):
     fitted, train, test = _explained(spark, sf_dir)
-    chosen = dataset.sample_rows(test, 100)
-    return explain.importance(explain.shapley(chosen, train, fitted, ["station_id", "ts"], permutations=10))
+    return explain.importance(explain.shapley(test, train, fitted, ["station_id", "ts"], permutations=10))
 
 
 @query()
@@ -243,19 +247,35 @@ _RESENT = f"{OBS.replace('obs as (', 'obs0 as (')}, obs as (select * replace (pm
 _RESENT_AQI = _RESENT + WITH_AQI[len(OBS):]
 
 
-@query(f"with {_RESENT_AQI} select station_id, ts, {COLUMNS}, hour, day, month, aqi, cast(cast(ts as date) as timestamp) + case when day % 5 = 0 then interval '2 days'"
-       " else interval '1 day' end ingestion_timestamp from a")
+_TIMED_AQI = WITH_AQI[len(OBS):]
+_FIRST_AQI = _TIMED_AQI.replace("timed", "timed0").replace("from obs)", "from obs0)").replace(" a as (", " a0 as (")
+
+
+def _rated_sql(source: str, name: str) -> str:
+    """Change rates as of the two hours before, over one state of the table."""
+    return (
+        f", {name}_p as (select *, last(aqi) over (partition by station_id order by ts range between interval '7200000000 microseconds' preceding"
+        f" and interval '1 microseconds' preceding) prev_aqi from {source}), {name} as (select *, {q6(RATE_SQL)} rate from {name}_p)"
+    )
+
+
+# Rows of resent days are rated over the second state, all others over the first.
+_STREAMED = f"{_RESENT_AQI}{_FIRST_AQI}{_rated_sql('a0', 'r0')}{_rated_sql('a', 'r1')}, s as (select * from r0 where day % 5 <> 0 union all select * from r1 where day % 5 = 0)"
+
+
+@query(f"with {_STREAMED} select station_id, ts, {COLUMNS}, hour, day, month, aqi, rate aqi_change_rate, cast(cast(ts as date) as timestamp) + case when day % 5 = 0 then interval '2 days'"
+       " else interval '1 day' end ingestion_timestamp from s")
 def stream_ingest(spark, sf_dir):
     folder = scratch_path(spark, "payloads")
     first, again = _envelopes(spark, sf_dir)
-    first.repartition(3).write.json(folder)
+    first.repartition(3, "station_id").write.json(folder)  # a station's days arrive together
     # Files that come later are read later: what they repeat is replaced.
     again.repartition(1).write.mode("append").json(folder)
     store = FeatureStore(spark, scratch_path(spark, "stream-store")).init()
     stream = ingest.payload_stream(spark, folder, files_per_batch=2)
     job = ingest.ingest_payloads(stream, store, scratch_path(spark, "stream-state"), fx.NOW, scratch_path(spark, "alerts"))
     job.awaitTermination()
-    return store.read().drop("aqi_change_rate")
+    return rounded(store.read(), "aqi_change_rate")
 
 
 @query("select cast(floor(user_id / 16) as int) station_id, date_trunc('hour', ts) hour_start, " + q6("avg(value)") + " mean_value, count(*) n from events group by 1, 2")

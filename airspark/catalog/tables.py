@@ -90,6 +90,18 @@ def store_roundtrip(spark, sf_dir):
     return table.read("2024-01-03 05:00:00", "2024-01-28 17:00:00", columns=["station_id", "ts", "pm2_5", "pm10", "aqi"])
 
 
+@query(f"with {OBS} select station_id, ts, pm2_5, case when ts < timestamp '2024-01-20' then pm10 end humidity from obs")
+def schema_evolution(spark, sf_dir):
+    """A column that one instance adds outlives saves of another instance that does not know it."""
+    rows = fx.with_aqi(spark, sf_dir)
+    root = scratch_path(spark, "evolving")
+    wider = store.FeatureStore(spark, root).init().append_features(T.StructType([T.StructField("humidity", T.DoubleType())]))
+    cut = instant(rows, "2024-01-20 00:00:00")
+    wider.save(rows.where(F.col("ts") < cut).withColumn("humidity", F.col("pm10")))
+    store.FeatureStore(spark, root).save(rows.where(F.col("ts") >= cut))
+    return store.FeatureStore(spark, root).read(columns=["station_id", "ts", "pm2_5", "humidity"])
+
+
 @query(f"with {OBS} select station_id, ts, pm2_5 + 3 pm2_5, cast(3 as int) \"version\" from obs")
 def latest_version(spark, sf_dir):
     obs = fx.observations(spark, sf_dir).select("station_id", "ts", "pm2_5")

@@ -99,10 +99,6 @@ def table_stats(df: DataFrame, ts: str = TS) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
-
-
 def interval_check(df: DataFrame, ts: str = TS) -> DataFrame:
     """Gaps between neighbouring rows in hours, and whether they look hourly."""
     gaps = row_windowed(

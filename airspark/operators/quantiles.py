@@ -22,10 +22,6 @@ def long_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
     return long.unpivot(keys, columns, "feature", "value").where(F.col("value").isNotNull())
 
 
-def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
-    return long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-
-
 def value_bucket(value: Column) -> Column:
     """Bucket of a value, non-decreasing in it; a fixed share of the value wide.
 

@@ -75,7 +75,3 @@ def live_scores(df: DataFrame, by: list[str] | None = None, actual: str = "actua
     mape = df.groupBy(*by).agg((F.avg(relative) * 100).alias("mape"))
     accuracy = F.greatest(F.lit(0.0), F.lit(100.0) - F.col("mape"))
     return regression_metrics(df, by, actual, predicted).join(mape, by).withColumn("accuracy", accuracy)
-
-
-def rounded_scores(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 2) for c in ("rmse", "mae", "r2")} | {"accuracy": F.round("accuracy", 1)})

@@ -112,7 +112,7 @@ def _normal(i: Column, *key: Column | str) -> Column:
 
 
 def lime(
-    instances: DataFrame, fitted: Fitted, key: list[str], samples: int = 500, num_features: int = TOP, seed: int = 42
+    instances: DataFrame, fitted: Fitted, key: list[str], samples: int = 5000, num_features: int = TOP, seed: int = 42
 ) -> DataFrame:
     """Local linear surrogate of the model around each instance.
 
@@ -133,7 +133,7 @@ def lime(
     )
     square = F.aggregate(F.zip_with("_p", "_x", lambda p, x: (p - x) * (p - x)), F.lit(0.0), lambda a, d: a + d)
     scored = fitted.model.transform(
-        points.withColumns({"_w": F.exp(-square / F.lit(float(width**2))), VECTOR: array_to_vector(F.col("_p"))})
+        points.withColumns({"_w": F.sqrt(F.exp(-square / F.lit(float(width**2)))), VECTOR: array_to_vector(F.col("_p"))})
     ).select(*key, "_s", "_p", "_w", F.col("prediction").alias("_y"))
     keep = [f.simpleString() for f in scored.select(*key).schema]
     schema = ", ".join(s.replace(":", " ", 1) for s in keep) + ", feature string, weight double, intercept double, local_prediction double"
@@ -141,15 +141,21 @@ def lime(
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("_s")
         x, y, w = np.stack(batch["_p"].to_numpy()), batch["_y"].to_numpy(), batch["_w"].to_numpy()
-        mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
-        cx = x - mx
-        coef = np.linalg.solve((cx.T * w) @ cx + np.eye(x.shape[1]), (cx.T * w) @ (y - my))
-        start = my - mx @ coef
-        top = np.argsort(-np.abs(coef), kind="stable")[:num_features]
-        out = pd.DataFrame({"feature": [names[i] for i in top], "weight": coef[top]})
+
+        def ridge(x: np.ndarray) -> tuple[np.ndarray, float]:
+            mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+            cx = x - mx
+            coef = np.linalg.solve((cx.T * w) @ cx + np.eye(x.shape[1]), (cx.T * w) @ (y - my))
+            return coef, my - mx @ coef
+
+        # The features of the largest weights, then a fit on them alone.
+        first, _ = ridge(x)
+        top = np.argsort(-np.abs(first), kind="stable")[:num_features]
+        coef, start = ridge(x[:, top])
+        out = pd.DataFrame({"feature": [names[i] for i in top], "weight": coef})
         for c in key:
             out[c] = batch[c].iloc[0]
-        return out.assign(intercept=start, local_prediction=start + x[0] @ coef)[[*key, "feature", "weight", "intercept", "local_prediction"]]
+        return out.assign(intercept=start, local_prediction=start + x[0, top] @ coef)[[*key, "feature", "weight", "intercept", "local_prediction"]]
 
     return scored.groupBy(*key).applyInPandas(fit, schema)
 

@@ -81,9 +81,8 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
         *[F.col(p) for p in POLLUTANTS],
         F.array().cast("array<double>").alias("out"),
     )
-    # Small rows, much work per row: as many tasks as the session has partitions.
-    tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return states.repartition(tasks, STATION, TS).withColumn("forecast", F.aggregate(F.transform(hours, calendar_part), zero, advance, lambda a: a["out"]))
+    # Origins come out of the shuffle that numbered them; their histories are not moved again.
+    return states.withColumn("forecast", F.aggregate(F.transform(hours, calendar_part), zero, advance, lambda a: a["out"]))
 
 
 def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:
@@ -124,10 +123,24 @@ def recursive_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) ->
     return linear_forecast(states, fitted, steps) if linear else stepwise_forecast(states, fitted, steps)
 
 
+def or_last_value(forecasts: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Where a model gave no complete forecast, the last known value repeated; ``status`` tells.
+
+    A station without any known value keeps its rows, with NULL values.
+    """
+    known = F.filter("hist", lambda v: v.isNotNull())
+    last = F.when(F.size(known) > 0, F.element_at(known, -1))
+    broken = F.col("forecast").isNull() | F.exists("forecast", lambda v: v.isNull() | F.isnan(v))
+    status = F.when(~broken, "model").when(last.isNotNull(), "last value").otherwise("not enough data")
+    return forecasts.withColumn("status", status).withColumn("forecast", F.when(~broken, F.col("forecast")).otherwise(F.array_repeat(last, steps)))
+
+
 def forecast_rows(forecasts: DataFrame) -> DataFrame:
     """One row per origin and step."""
-    return forecasts.select(STATION, F.col(TS).alias("origin"), F.posexplode("forecast").alias("_i", "pm2_5")).select(
+    kept = [c for c in ("status",) if c in forecasts.columns]
+    return forecasts.select(STATION, *kept, F.col(TS).alias("origin"), F.posexplode("forecast").alias("_i", "pm2_5")).select(
         STATION,
+        *kept,
         "origin",
         (F.col("_i") + 1).alias("step"),
         add_hours(F.col("origin"), F.col("_i") + 1).alias(TS),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from airspark.functions.aqi import aqi, aqi_particles
@@ -11,16 +13,23 @@ from airspark.operators.features import time_parts
 from airspark.operators.quality import align_schema
 from airspark.schema import FEATURE_TABLE, STATION, TS
 from airspark.sources.payload import parse_payload, pick_current
+from airspark.sources.store import FeatureStore, time_range
 
 
-def hourly_ingest(payloads: DataFrame, history: DataFrame, now) -> DataFrame:
+def hourly_ingest(payloads: DataFrame, history: DataFrame | FeatureStore, now) -> DataFrame:
     """The current row of each station, ready to store.
 
-    ``history`` holds stored rows with ``aqi``. The change rate looks back two
-    hours, so only rows near ``now`` are read from it.
+    ``history`` is a store or holds stored rows with ``aqi``. The change rate looks back
+    two hours; the earliest and latest current row bound what is read of it.
     """
     rows = pick_current(parse_payload(payloads), now).drop("is_forecast")
     current = time_parts(rows).withColumns({"aqi": aqi(), "ingestion_timestamp": instant(rows, now)})
+    span = rows.agg(F.min(TS).alias("first"), F.max(TS).alias("last")).first()  # two scalars
+    if span["first"] is not None:
+        first, last = span["first"] - timedelta(hours=2), span["last"]
+        history = history.read(first, last) if isinstance(history, FeatureStore) else time_range(history, first, last)
+    elif isinstance(history, FeatureStore):
+        history = history.read().limit(0)
     reach = current.select(STATION, F.col(TS).alias("_now"))
     past = history.join(reach, STATION).where(
         (F.col(TS) >= F.col("_now") - F.expr("interval 2 hours")) & (F.col(TS) < F.col("_now"))

@@ -18,12 +18,11 @@ from pyspark.ml.regression import (
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airspark.plans.dataset import Scaler, contiguous_folds, sample_rows
+from airspark.plans.dataset import Scaler, contiguous_folds
 from airspark.schema import STATION, TS
 
 SEED = 42
 VECTOR = "features"
-TUNING_LIMIT, TUNING_SAMPLE = 20_000, 10_000
 
 # Settings to draw from.
 GBT_GRID = {
@@ -114,13 +113,8 @@ def random_search(
     folds: int = 3,
     parallelism: int = 4,
 ) -> tuple[Fitted, list[dict]]:
-    """Random search over consecutive folds; the winner is fitted on all training rows.
-
-    Above ``TUNING_LIMIT`` rows the search itself runs on a fixed sample.
-    """
-    large = train.limit(TUNING_LIMIT + 1).count() > TUNING_LIMIT
-    basis = sample_rows(train, TUNING_SAMPLE) if large else train
-    rows = assemble(contiguous_folds(basis, folds), names).select(VECTOR, "target", "fold")
+    """Random search over consecutive folds of all training rows; the winner is fitted on them."""
+    rows = assemble(contiguous_folds(train, folds), names).select(VECTOR, "target", "fold")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     settings = draw_settings(estimator, grid, n_iter)
     search = CrossValidator(
@@ -139,10 +133,17 @@ def random_search(
         {"settings": ", ".join(f"{p.name}={v}" for p, v in s.items()), "rmse": float(m)}
         for s, m in zip(settings, found.avgMetrics)
     ]
-    if not large:
-        return Fitted(name, found.bestModel, names, scaler), report
-    best = settings[min(range(len(report)), key=lambda i: report[i]["rmse"])]
-    return fit(name, estimator.copy(best), train, names, scaler), report
+    return Fitted(name, found.bestModel, names, scaler), report
+
+
+def tuned(name: str, train: DataFrame, names: list[str], scaler: Scaler, n_iter: int | None = None, folds: int = 3) -> tuple[Fitted, list[dict]]:
+    """A listed model with settings found by random search over its grid."""
+    estimator, grid, draws = {
+        "gbt": (gbt(), GBT_GRID, 25),
+        "forest": (forest(), RF_GRID, 25),
+        "robust_linear": (robust_linear(), LINEAR_GRID, 15),
+    }[name]
+    return random_search(name, estimator, grid, train, names, scaler, n_iter or draws, folds)
 
 
 def raw_weights(fitted: Fitted) -> tuple[float, dict[str, float]]:

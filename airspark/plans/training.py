@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airspark.operators.univariate import fit_harmonic, fit_seasonal_ar, harmonic_predict, seasonal_ar_forecast
 from airspark.plans import models
-from airspark.plans.dataset import chrono_split, labelled, scaled_set
+from airspark.plans.dataset import TRAIN_SHARE, chrono_split, labelled, scaled_set
 from airspark.plans.evaluate import pick_winner, regression_metrics
 from airspark.plans.forecast import backtest_t72
 from airspark.schema import STATION, TS
@@ -28,7 +28,7 @@ def estimators() -> dict[str, object]:
 def series_scores(rows: DataFrame) -> DataFrame:
     """Scores of the two per-station models over the same test rows."""
     train = rows.where("is_train").select(STATION, TS, "pm2_5")
-    test = rows.where(~F.col("is_train")).select(STATION, TS, "pm2_5", (F.col("rn") - F.floor(F.lit(0.8) * F.col("rn_total"))).alias("step"))
+    test = rows.where(~F.col("is_train")).select(STATION, TS, "pm2_5", (F.col("rn") - F.floor(F.lit(TRAIN_SHARE) * F.col("rn_total"))).alias("step"))
     longest = test.agg(F.max("step")).first()[0] or 0
     ahead = seasonal_ar_forecast(train, fit_seasonal_ar(train), int(longest))
     seasonal = test.join(ahead, [STATION, "step"]).withColumn("model", F.lit("seasonal_ar"))
@@ -38,7 +38,7 @@ def series_scores(rows: DataFrame) -> DataFrame:
 
 
 def train_and_compare(
-    df: DataFrame, root: str | None = None, chosen: dict[str, object] | None = None, last: int | None = 100
+    df: DataFrame, root: str | None = None, chosen: dict[str, object] | None = None, last: int | None = None
 ) -> tuple[DataFrame, int | None]:
     """Fit the models, score them on held-out rows, and register the winner under ``root``.
 
@@ -48,7 +48,7 @@ def train_and_compare(
     """
     rows = written(chrono_split(labelled(df)), "labelled")
     scaled, names, scaler = scaled_set(rows)
-    train = scaled.join(rows.select(STATION, TS, "is_train"), [STATION, TS]).where("is_train")
+    train = scaled.where("is_train")
     fitted = {n: models.fit(n, e, train, names, scaler) for n, e in (chosen or estimators()).items()}
     scores = [backtest_t72(rows, ~F.col("is_train"), f, last) for f in fitted.values()]
     # Each score is one row; they are computed once and then used several times.

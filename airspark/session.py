@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def _shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a local one when none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = os.environ.get("AIRSPARK_TEST_DIR") or tempfile.mkdtemp(prefix="airspark-")
         os.environ["AIRSPARK_TEST_DIR"] = root
@@ -37,6 +39,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_shared_root(spark)}/airspark-{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table on shared storage: computed once, pruned by column on every read.
 

@@ -9,7 +9,7 @@ from airspark.operators.merge import upsert
 from airspark.operators.quality import align_schema, evolve_schema, table_stats, utc_normalise
 from airspark.operators.series import last_rows
 from airspark.schema import FEATURE_TABLE, STATION, TS
-from airspark.session import prepare, scratch_path
+from airspark.session import discard, prepare, scratch_path
 
 MONTH = "month_start"
 DEFAULT_VERSION = 3
@@ -21,7 +21,8 @@ class FeatureStore:
     Only months that a batch touches are rewritten. The new content of those
     months is first written to a fresh folder and then moved over month by month,
     so a job never reads what it overwrites, and a lost executor only repeats
-    tasks. Within a month, rows are ordered by station and time, which keeps the
+    tasks. The columns of the table are stored beside it, so every instance knows columns
+    that another one added. Within a month, rows are ordered by station and time, which keeps the
     row-group statistics of both narrow.
     """
 
@@ -29,7 +30,30 @@ class FeatureStore:
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
         self.version = version
-        self.schema = schema
+        self.given = schema
+
+    @property
+    def schema(self) -> T.StructType:
+        """The stored columns followed by those of this instance that are new."""
+        stored = self._stored_schema()
+        return self.given if stored is None else evolve_schema(stored, self.given)
+
+    @property
+    def _schema_path(self) -> str:
+        # Names that begin with an underscore are no part of the table's data.
+        return f"{self.root}/_schema/version={self.version}"
+
+    def _stored_schema(self) -> T.StructType | None:
+        try:
+            return self.spark.read.parquet(self._schema_path).schema
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+
+    def _store_schema(self, schema: T.StructType) -> None:
+        if schema != self._stored_schema():
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._schema_path)
 
     @property
     def path(self) -> str:
@@ -37,7 +61,9 @@ class FeatureStore:
 
     def init(self) -> "FeatureStore":
         """Create an empty table unless there is one."""
-        self._write(self.spark.createDataFrame([], self.schema), self.path, "ignore")
+        schema = self.schema
+        self._store_schema(schema)
+        self._write(self.spark.createDataFrame([], schema), self.path, "ignore")
         return self
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
@@ -54,25 +80,39 @@ class FeatureStore:
         )
 
     def _stored(self) -> DataFrame:
-        fields = list(self.schema) + [T.StructField(MONTH, T.DateType())]
-        return self.spark.read.schema(T.StructType(fields)).parquet(self.path)
+        return self.spark.read.schema(self._with_month(self.schema)).parquet(self.path)
+
+    @staticmethod
+    def _with_month(schema: T.StructType) -> T.StructType:
+        return T.StructType(list(schema) + [T.StructField(MONTH, T.DateType())])
 
     def save(self, batch: DataFrame, position: str | None = None) -> None:
-        """Upsert a batch; columns that the table lacks are dropped."""
+        """Upsert a batch; columns that the table lacks are dropped.
+
+        The batch is computed once; of the stored table only the months it touches are read.
+        """
+        schema = self.schema
+        self._store_schema(schema)
         extra = [T.StructField(position, T.LongType())] if position else []
-        new = align_schema(batch, T.StructType(list(self.schema) + extra))
-        months = batch.select(F.trunc(F.col(TS).cast("date"), "month").alias(MONTH)).distinct()
-        touched = self._stored().join(months, MONTH, "left_semi").drop(MONTH)
-        staged = scratch_path(self.spark, "staged")
+        arrived, staged = scratch_path(self.spark, "batch"), scratch_path(self.spark, "staged")
+        wanted = T.StructType(list(schema) + extra)
+        align_schema(batch, wanted).write.parquet(arrived)
+        new = self.spark.read.schema(wanted).parquet(arrived)
+        # A few scalars: the calendar months of one batch.
+        months = [r[0] for r in new.select(F.trunc(F.col(TS).cast("date"), "month")).distinct().collect()]
+        touched = self._stored().where(F.col(MONTH).isin(months)).drop(MONTH)
         self._write(upsert(touched, new, position), staged, "errorifexists")
-        content = self.spark.read.parquet(staged)
+        content = self.spark.read.schema(self._with_month(schema)).parquet(staged)
         content.sortWithinPartitions(MONTH, STATION, TS).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(MONTH).parquet(self.path)
+        discard(self.spark, arrived)
+        discard(self.spark, staged)
 
     def append_features(self, wanted: T.StructType) -> "FeatureStore":
         """Add columns to the table; older files read as NULL there."""
-        self.schema = evolve_schema(self.schema, wanted)
+        self.given = evolve_schema(self.schema, wanted)
+        self._store_schema(self.given)
         return self
 
     def read(self, start=None, end=None, limit: int | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -136,10 +176,10 @@ def newest_actual(df: DataFrame, now, ts: str = TS) -> DataFrame:
 
 
 def latest_version(df: DataFrame, version: str = "version", default: int = DEFAULT_VERSION) -> DataFrame:
-    """Rows of the highest version, which Spark finds in the same query."""
-    highest = df.agg(F.coalesce(F.max(version), F.lit(default)).alias("_v"))
-    # One row on the small side by construction.
-    return df.join(F.broadcast(highest), F.col(version) == F.col("_v")).drop("_v")
+    """Rows of the highest version. A first query reads the version alone, so that the second
+    reads only that version's partition."""
+    highest = df.agg(F.coalesce(F.max(version), F.lit(default))).first()[0]
+    return df.where(F.col(version) == F.lit(highest))
 
 
 def migrate(source: DataFrame, target: FeatureStore, text_ts: str | None = None) -> DataFrame:

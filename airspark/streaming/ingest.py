@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airspark.functions.aqi import aqi
+from airspark.operators.changerate import change_rate_asof
 from airspark.operators.features import time_parts
-from airspark.operators.merge import keep_last
+from airspark.operators.merge import keep_last, upsert
 from airspark.operators.quality import freshness
 from airspark.schema import STATION, TS
+from airspark.session import written
 from airspark.sources.payload import parse_payload
 from airspark.sources.store import FeatureStore
 
@@ -36,12 +40,21 @@ def ingest_payloads(
         newest = keep_last(rows, ["sent_at"]).join(
             rows.groupBy(STATION, TS).agg(F.max("sent_at").alias("ingestion_timestamp")), [STATION, TS]
         )
-        ready = time_parts(newest).withColumn("aqi", aqi())
-        store.save(ready)
+        ready = written(time_parts(newest).withColumn("aqi", aqi()), "arrived")
+        span = ready.agg(F.min(TS).alias("first"), F.max(TS).alias("last")).first()  # two scalars
+        if span["first"] is None:
+            return
+        # The change rate looks back two hours, over what is stored and what arrived.
+        past = store.read(span["first"] - timedelta(hours=2), span["last"], columns=[STATION, TS, "aqi"])
+        both = upsert(past, ready.select(STATION, TS, "aqi"))
+        rates = change_rate_asof(both).select(STATION, TS, "aqi_change_rate")
+        store.save(ready.join(rates, [STATION, TS]))
         if alerts is not None:
-            touched = batch.select(STATION).distinct()
+            # A station's newest row is in the batch, unless the batch is late: then it is stored
+            # after the batch's first hour.
+            touched = ready.select(STATION).distinct()
             at = F.lit(now).cast("timestamp_ntz") if now else F.current_timestamp().cast("timestamp_ntz")
-            known = store.read(columns=[STATION, TS, "ingestion_timestamp"]).join(touched, STATION, "left_semi")
+            known = store.read(start=span["first"], columns=[STATION, TS, "ingestion_timestamp"]).join(touched, STATION, "left_semi")
             aged = freshness(known, at).withColumn("batch_id", F.lit(batch_id))
             # One folder per batch: writing it twice leaves one copy.
             aged.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
@@ -64,11 +77,6 @@ def hourly_means(stream: DataFrame, value: str = "value", ts: str = TS, late: st
     )
 
 
-def distinct_events(stream: DataFrame, key: list[str], ts: str = TS, late: str = "2 hours") -> DataFrame:
-    """Drop repeats of a key that arrive within ``late`` of each other."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
-
-
 def write_updates(means: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append the changed hours of each micro-batch, tagged with its number."""
 
