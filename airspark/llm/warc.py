@@ -3,7 +3,7 @@
 The payload digests of all records are shuffled as narrow rows; the record with the
 largest id of each repeated payload stays a response, the others become revisits that
 refer to it. Records are then written to archives of bounded size through Spark's
-writer, whose commit keeps a repeated task from leaving half a file, and read back by
+writer (a mean number of records each), whose commit keeps a repeated task from leaving half a file, and read back by
 their Content-Length. Reading resolves revisits by joining them to their responses.
 
 Defined cases: a null html is an empty payload, a null url an empty one; control
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airspark.llm.common import arrow_schema
-from airspark.session import scratch_path
+from airspark.session import scratch_path, written
 
 LEAST = 1000
 #: Payload bytes that an archive holds on average.
@@ -57,8 +57,8 @@ def originals(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
     """Write deduplicated archives below ``path`` and return the decisions (page_id, original)."""
-    sums = headers(pages).agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n"))
-    archives = int(sums.first()["n"]) // archive_bytes + 1
+    sums = headers(pages).agg(F.coalesce(F.avg("payload_bytes"), F.lit(0)).alias("mean")).first()
+    records_each = max(1, int(archive_bytes / (sums["mean"] + 600)))  # 600 bytes of headers
     source = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -68,14 +68,17 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     )
     # Only revisits: pages whose payload another page keeps. Narrow rows, so a payload
     # of many pages makes a long but thin join that Spark may split.
-    revisits = (
+    revisits = written(
         headers(pages)
         .join(originals(pages, least), ["payload_digest", "payload_bytes"])
         .where(F.col("page_id") != F.col("original"))
         .select("page_id", "payload_digest", "original")
-        .distinct()
+        .distinct(),
+        "revisits",
     )
-    records = source.repartition(archives, "page_id", "payload_digest").join(revisits, ["page_id", "payload_digest"], "left")
+    # Its size is known: a small table of revisits goes to all tasks and payloads are not
+    # shuffled; for a large one Spark joins by page.
+    records = source.join(revisits, ["page_id", "payload_digest"], "left")
     plain = F.col("url")
     for code in [*range(32), 127]:
         plain = F.replace(plain, F.lit(chr(code)), F.lit(f"%{code:02X}"))
@@ -103,7 +106,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
         F.lit(EOL),
         block,
     )
-    records.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").text(path)
+    records.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_each).text(path)
     return revisits
 
 
