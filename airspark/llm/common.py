@@ -62,7 +62,8 @@ def word_parts(texts: pa.Array, letters: bool = False, prefixes: tuple[int, ...]
     The first array is for whole words, the others for their first bytes, as many as
     ``prefixes`` say (the whole word where it is shorter).
     """
-    texts = pa.array(texts).cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    if not pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     if texts.null_count:

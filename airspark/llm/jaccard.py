@@ -354,18 +354,17 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE_ARROW)
 
 
-def _join_units(percent: int):
-    """All units of a bin, one after the other."""
+def _join_units(k: int, percent: int):
+    """All units of a bin, one after the other. Their texts travel, not their sets, which are larger."""
 
     def run(table: pa.Table) -> pa.Table:
         units = np.asarray(table.column("unit"))
         order = np.lexsort((np.asarray(table.column("doc")), units))
         table, units = table.take(pa.array(order)), units[order]
-        edges = []
+        docs, texts, edges = table.column("doc").to_pylist(), table.column("text").combine_chunks(), []
         cuts = np.flatnonzero(np.append(True, np.diff(units) != 0))
         for at, to in zip(cuts, np.append(cuts[1:], len(units))):
-            part = table.slice(at, to - at)
-            edges += _edges(part.column("doc").to_pylist(), linked(_unpack(part.column("tokens")), percent))
+            edges += _edges(docs[at:to], linked(sets_of(texts.slice(at, to - at), k), percent))
         return _edge_table(edges)
 
     return run
@@ -454,19 +453,26 @@ def similar_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, u
     units = connected(routes.unionByName(copies))
     members = units.unionByName(units.select(F.col("root").alias("node"), "root").distinct())
     alone = members.join(copies.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    asked = written(alone.select(F.col("node").alias("doc_id"), F.col("root").alias("unit")), "members")
-    shared = asked.groupBy("unit").count().where("count > 1").select("unit")
-    rows = written(
-        _sets(texts.join(asked.join(shared, "unit"), "doc_id").select("unit", F.col("doc_id").alias("doc"), "text"), k), "sets"
+    # A document's unit and size are narrow rows; a unit of one document needs no comparison.
+    asked = written(
+        alone.select(F.col("node").alias("doc_id"), F.col("root").alias("unit"))
+        .join(known.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"),
+        "members",
     )
-    weights = rows.groupBy("unit").agg(F.sum("n").alias("weight"))
-    weighed = rows.join(weights, "unit")
+    weights = asked.groupBy("unit").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")).where("docs > 1").select("unit", "weight")
+    weights = written(weights, "weights")
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.coalesce(F.max("weight"), F.lit(0)).alias("most")).first()
     bins = int(total["n"]) // unit_shingles + 1
-    small = weighed.where(F.col("weight") <= 2 * unit_shingles).select("unit", "doc", "n", "tokens")
-    edges = small.groupBy(F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin")).applyInArrow(_join_units(percent), "a long, b long")
+    large = F.col("weight") > 2 * unit_shingles
+
+    def rows_of(which) -> DataFrame:
+        wanted = written(asked.join(weights.where(which), "unit").select("doc_id", "unit"), "wanted")
+        return texts.join(wanted, "doc_id").select("unit", F.col("doc_id").alias("doc"), "text")
+
+    bin_of = F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin")
+    edges = rows_of(~large).groupBy(bin_of).applyInArrow(_join_units(k, percent), "a long, b long")
     if total["most"] > 2 * unit_shingles:
-        edges = edges.unionByName(_large_units(weighed.where(F.col("weight") > 2 * unit_shingles).drop("weight"), percent, unit_shingles))
+        edges = edges.unionByName(_large_units(_sets(rows_of(large), k), percent, unit_shingles))
     found = connected(edges.unionByName(copies)).withColumnRenamed("node", "doc_id")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return sized.join(found, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
