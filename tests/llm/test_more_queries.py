@@ -159,7 +159,8 @@ def brute_removals(rows):
     return gone
 
 
-def test_lines_equal_brute_force(spark, clashing, prose):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_lines_equal_brute_force(spark, clashing, prose, crowd):
     rng, rows = random.Random(2), []
     pool = [" ".join(prose(i, rng.randrange(3, 60), 500)) for i in range(25)]
     for i in range(120):
@@ -173,7 +174,7 @@ def test_lines_equal_brute_force(spark, clashing, prose):
         rows.append((i * 13 % 997, "\n".join(lines)))
     rows += [(1000, None), (1001, ""), (1002, "\n\n"), (None, pool[3] + "\n" + pool[4]), (1003, "é à ü ñ ö\nÉ À Ü Ñ Ö")]
     docs = clashing(rows)
-    got = {r["doc_id"]: r for r in line_report(docs).collect()}
+    got = {r["doc_id"]: r for r in line_report(docs, crowd=crowd).collect()}
     gone = brute_removals(rows)
     assert {d: sorted(map(int, filter(None, r["removed"].split(",")))) for d, r in got.items() if r["n_removed"]} == {d: sorted(x) for d, x in gone.items()}
     assert all(got[d]["n_lines"] == (len(t.split("\n")) if t else 0) and got[d]["n_removed"] == len(gone.get(d, ())) for d, t in rows)
