@@ -3,8 +3,8 @@
 1. Texts become sets of 64-bit shingle hashes. Equal sets are found by their digest and
    stand as one document from there on.
 2. Routing. Two sets of Jaccard similarity t or more share one of their first
-   n - ceil(t n) + 1 shingles in any common order. Shingles that a sketch of fixed size
-   shows to be frequent come last, so boilerplate rarely routes. Documents that share a
+   n - ceil(t n) + 1 shingles in any common order. The order is by the counters of a
+   sketch of fixed size, rare ones first, so shared passages rarely route. Documents that share a
    routing shingle, directly or by others, form a unit; similar documents are never in
    different units. A frequent shingle's documents are salted and linked by their
    smallest ids.
@@ -96,8 +96,8 @@ def _base(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, _BASE)
 
 
-def _levels(base: DataFrame) -> np.ndarray:
-    """For each counter 0 if it is usual, else the power of two that bounds its count."""
+def _frequencies(base: DataFrame) -> np.ndarray:
+    """The counters of all documents' shingles; each bounds the documents of its shingles."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -114,9 +114,7 @@ def _levels(base: DataFrame) -> np.ndarray:
     total = np.zeros((SKETCH // CHUNK, CHUNK), np.uint64)
     for r in rows.mapInArrow(add, "chunk int, counts binary").collect():  # SKETCH counters in all
         total[r["chunk"]] += np.frombuffer(r["counts"], np.uint64)
-    counts = total.ravel().astype(float)
-    usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
-    return np.where(counts > usual, np.ceil(np.log2(np.maximum(counts, 2))), 0).astype(np.uint8)
+    return total.ravel().astype(np.float32)
 
 
 # ---- routing ----------------------------------------------------------------
@@ -127,7 +125,8 @@ _ROUTE_ARROW = arrow_schema(token=pa.int64(), salt=pa.int32(), frequent=pa.bool_
 
 def _routes(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """The routing shingles of each document; a task names equal sets once."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH numbers
+    usual = float(levels.mean() + 6 * np.sqrt(levels.mean()) + 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of, named = shared.value, set()
@@ -145,7 +144,7 @@ def _routes(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFr
                     first = len(own) - -(-percent * len(own) // 100) + 1
                     best = np.lexsort((own, level))[:first]
                     # The counter bounds the documents of a frequent shingle; usual ones are few.
-                    salt = np.where(level[best] > 0, np.exp2(level[best].astype(float)) // ROUTE_ROWS + 1, 1).astype(np.uint64)
+                    salt = np.where(level[best] > usual, level[best] // ROUTE_ROWS + 1, 1).astype(np.uint64)
                     tokens.append(own[best].view(np.int64))
                     salts.append((mix(np.array([doc], np.int64).view(np.uint64))[0] % salt).astype(np.int32))
                     frequent.append(salt > 1)
@@ -444,12 +443,12 @@ def similar_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, u
     """One row per document: doc_id, n_shingles and component_id, the smallest connected doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = written(_base(texts, k), "shingles")
-    levels = _levels(base)
+    counts = _frequencies(base)
     sized = base.where("chunk is null").select("doc_id", "n_shingles", "digest")
     known = sized.where("n_shingles > 0 and doc_id is not null")
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first <> _last").select("digest", "first")
     copies = written(known.join(firsts, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
-    routes = _route_edges(_routes(texts.where("doc_id is not null"), levels, k, percent))
+    routes = _route_edges(_routes(texts.where("doc_id is not null"), counts, k, percent))
     units = connected(routes.unionByName(copies))
     members = units.unionByName(units.select(F.col("root").alias("node"), "root").distinct())
     alone = members.join(copies.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
