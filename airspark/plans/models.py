@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -43,8 +45,8 @@ RF_GRID = {
 LINEAR_GRID = {"regParam": [0.0, 0.01, 0.1, 1.0], "epsilon": [1.05, 1.2, 1.35, 2.0]}
 
 
-def assemble(df: DataFrame, names: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=names, outputCol=VECTOR).transform(df)
+def assemble(df: DataFrame, names: list[str], missing: str = "error") -> DataFrame:
+    return VectorAssembler(inputCols=names, outputCol=VECTOR, handleInvalid=missing).transform(df)
 
 
 def gbt(**settings) -> GBTRegressor:
@@ -74,9 +76,11 @@ class Fitted:
         return self.model.transform(assemble(df, self.names)).drop(VECTOR)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Predict rows of unscaled features."""
+        """Predict rows of unscaled features; a row that lacks one gets NULL."""
         scaled = self.scaler.transform(df.select(STATION, TS, *self.names))
-        return self.predict_scaled(scaled).select(STATION, TS, "prediction")
+        whole = reduce(and_, [F.col(n).isNotNull() for n in self.names])
+        guessed = self.model.transform(assemble(scaled, self.names, "keep"))
+        return guessed.select(STATION, TS, F.when(whole, F.col("prediction")).alias("prediction"))
 
 
 def fit(name: str, estimator, train: DataFrame, names: list[str], scaler: Scaler) -> Fitted:
