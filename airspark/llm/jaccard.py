@@ -4,10 +4,10 @@
    stand as one document from there on.
 2. Routing. Two sets of Jaccard similarity t or more share one of their first
    n - ceil(t n) + 1 shingles in any common order. The order is by the counters of a
-   sketch of fixed size, rare ones first, so shared passages rarely route. Documents that share a
-   routing shingle, directly or by others, form a unit; similar documents are never in
-   different units. A frequent shingle's documents are salted and linked by their
-   smallest ids.
+   sketch of fixed size, rare ones first, so shared passages rarely route. Documents that
+   share a routing shingle form a unit with the smallest of them, and shingles of one
+   smallest document have one unit; so similar documents meet in some unit. A frequent
+   shingle's documents are salted before their smallest id is found.
 3. Signature trees. The documents of a unit are leaves with token bitmaps; every
    node above holds the OR of its children's bitmaps and the range of their set sizes.
    Pairs of nodes are walked together from the top and pruned where sizes are too far
@@ -162,9 +162,10 @@ def _route_edges(routes: DataFrame) -> DataFrame:
     group = Window.partitionBy("token", "salt")
     centered = routes.withColumn("m", F.min("doc").over(group)).where((F.col("doc") > F.col("m")) | F.col("frequent"))
     shared = written(centered.select(F.when(F.col("frequent"), F.col("token")).alias("token"), "doc", "m").distinct(), "routes")
-    centers = shared.where("token is not null").select("token", F.col("m").alias("doc")).distinct()
-    joined = centers.withColumn("m", F.min("doc").over(Window.partitionBy("token")))
-    return shared.select("doc", "m").unionByName(joined.select("doc", "m")).where("doc <> m").select(F.col("doc").alias("a"), F.col("m").alias("b"))
+    # The salted parts of a frequent shingle get the smallest of their centres in common.
+    centers = shared.where("token is not null").groupBy("token").agg(F.min("m").alias("center"))
+    frequent = shared.where("token is not null").join(centers, "token").select("doc", F.col("center").alias("m"))
+    return shared.where("token is null").select("doc", "m").unionByName(frequent).where("doc <> m").select(F.col("doc").alias("a"), F.col("m").alias("b")).distinct()
 
 
 # ---- trees ------------------------------------------------------------------
@@ -449,16 +450,20 @@ def similar_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, u
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first <> _last").select("digest", "first")
     copies = written(known.join(firsts, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
     routes = _route_edges(_routes(texts.where("doc_id is not null"), counts, k, percent))
-    units = connected(routes.unionByName(copies))
-    members = units.unionByName(units.select(F.col("root").alias("node"), "root").distinct())
-    alone = members.join(copies.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    # Copies are named by the first of them.
+    first_of = copies.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("first"))
+    named = routes.withColumnRenamed("a", "node").join(first_of, "node", "left").select(F.coalesce("first", "node").alias("node"), "b")
+    named = named.join(first_of.select(F.col("node").alias("b"), "first"), "b", "left").select("node", F.coalesce("first", "b").alias("root"))
+    members = named.where("node <> root").unionByName(named.select(F.col("root").alias("node"), "root"))
     # A document's unit and size are narrow rows; a unit of one document needs no comparison.
     asked = written(
-        alone.select(F.col("node").alias("doc_id"), F.col("root").alias("unit"))
-        .join(known.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"),
+        members.distinct().select(F.col("node").alias("doc_id"), F.col("root").alias("unit"))
+        .join(known.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")), "doc_id"),
         "members",
     )
-    weights = asked.groupBy("unit").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")).where("docs > 1").select("unit", "weight")
+    weights = asked.groupBy("unit").agg(F.sum("n").alias("weight"), F.count("*").alias("docs"), F.min("hi").alias("low"), F.max("lo").alias("high"))
+    # A unit of two whose sizes are too far apart links nothing (a repeated id may have several sizes).
+    weights = weights.where(f"docs > 2 or (docs = 2 and 100 * low >= {percent} * high)").select("unit", "weight")
     weights = written(weights, "weights")
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.coalesce(F.max("weight"), F.lit(0)).alias("most")).first()
     bins = int(total["n"]) // unit_shingles + 1
