@@ -13,6 +13,9 @@
    Pairs of nodes are walked together from the top and pruned where sizes are too far
    apart, where the largest possible overlap is too small, or where all documents
    below are known to be connected. What is left at the leaves is compared exactly.
+   A first walk needs bitmaps alone, which are a fraction of the texts: it splits each
+   unit into groups whose bitmaps may overlap enough, named by their smallest document.
+   Only the texts of such groups are fetched, and a second walk compares them exactly.
 4. Units too large for one task are cut into blocks, and pairs of blocks are walked by
    different tasks; documents already linked to a pivot of the unit need no comparison
    among themselves.
@@ -56,8 +59,8 @@ PAIRS_AT_ONCE = 8192
 
 # ---- sets -------------------------------------------------------------------
 
-_BASE = "doc_id long, n_shingles long, digest binary, chunk int, counts binary"
-_BASE_ARROW = arrow_schema(doc_id=pa.int64(), n_shingles=pa.int64(), digest=pa.binary(), chunk=pa.int32(), counts=pa.binary())
+_BASE = "doc_id long, n_shingles long, digest binary, bits binary, chunk int, counts binary"
+_BASE_ARROW = arrow_schema(doc_id=pa.int64(), n_shingles=pa.int64(), digest=pa.binary(), bits=pa.binary(), chunk=pa.int32(), counts=pa.binary())
 
 
 def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -70,8 +73,20 @@ def _digest(own: np.ndarray) -> bytes:
     return blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def _on(own: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap of a set in words of 64 bits; ``width`` is a power of two of 64 or more."""
+    on = np.zeros(width, np.uint8)
+    on[(own & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.uint64)
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits for each token of the set."""
+    return _on(own, max(64, 1 << (2 * len(own) - 1).bit_length()))
+
+
 def _base(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document, and per task the counters of its shingles in compressed chunks."""
+    """A row with its bitmap per document, and per task the counters of its shingles in compressed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
@@ -82,14 +97,14 @@ def _base(docs: DataFrame, k: int) -> DataFrame:
                     counts += np.bincount((np.concatenate(own) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([bitmap(x).tobytes() if len(x) else None for x in own], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     schema=_BASE_ARROW,
                 )
         if counts.any():
             chunks = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(-1, CHUNK)]
             n = len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(chunks, pa.binary())],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(chunks, pa.binary())],
                 schema=_BASE_ARROW,
             )
 
@@ -270,12 +285,49 @@ class Groups:
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Bitmaps of one width, four bits for each token of the largest set."""
     width = 1 << max(9, int(np.ceil(np.log2(4 * max(map(len, sets))))))
-    out = np.zeros((len(sets), width // 64), np.uint64)
-    for row, own in zip(out, sets):
-        on = np.zeros(width, np.uint8)
-        on[(own % np.uint64(width)).astype(np.int64)] = 1
-        row[:] = np.packbits(on).view(np.uint64)
-    return out
+    return np.stack([_on(own, width) for own in sets])
+
+
+def bitmap_groups(sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> Groups:
+    """Groups of documents, by size and own bitmap, that hold every pair whose bitmaps may overlap enough.
+
+    Bitmaps of one width make a tree; wider ones are folded to meet narrower ones.
+    """
+    groups = Groups(len(bits))
+    widths = np.array([len(b) for b in bits])
+    classes = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+    stacks = {w: np.stack([bits[i] for i in members]) for w, members in classes.items()}
+    for w, members in classes.items():
+        # Documents near to one of the class are of its group; goes on while that pays.
+        leaves = SignatureTree(stacks[w], sizes[members], members).levels[0]
+        left = np.arange(len(members))
+        while len(left) > FAN:
+            near = possible(leaves, leaves, np.full(len(left) - 1, left[0]), left[1:], percent)
+            for i in left[1:][near].tolist():
+                groups.join(int(members[left[0]]), int(members[i]))
+            rest = left[1:][~near]
+            pays = len(rest) <= 0.75 * len(left)
+            left = rest
+            if not pays:
+                break
+    labels = groups.labels()
+
+    def tree(w: int, narrow: int) -> tuple[SignatureTree, np.ndarray]:
+        members = classes[w]
+        folded = np.bitwise_or.reduce(stacks[w].reshape(len(members), w // narrow, narrow), axis=1)
+        order = np.lexsort((sizes[members], labels[members]))
+        return SignatureTree(folded[order], sizes[members][order], labels[members][order]), members[order]
+
+    for w in classes:
+        a, order_a = tree(w, w)
+        for wide in classes:
+            if wide < w or percent * sizes[classes[wide]].min() > 100 * sizes[classes[w]].max():
+                continue
+            b, order_b = (a, order_a) if wide == w else tree(wide, w)
+            for i, j in candidate_pairs(a, b, percent):
+                for x, y in zip(order_a[i].tolist(), order_b[j].tolist()):
+                    groups.join(x, y)
+    return groups
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> Groups:
@@ -354,6 +406,29 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE_ARROW)
 
 
+_MEMBER = "doc_id long, unit long, n long, lo long, hi long"
+
+
+def _split_units(percent: int):
+    """All units of a bin by bitmaps alone: the groups of two documents or more that may link, named by their smallest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        units, ids = np.asarray(table.column("unit")), np.asarray(table.column("doc_id"))
+        order = np.lexsort((np.asarray(table.column("size")), ids, units))
+        units, ids = units[order], ids[order]
+        table = table.take(pa.array(order))
+        sizes, bits = np.asarray(table.column("size")), _unpack(table.column("bits"))
+        named = np.full(len(units), -1)
+        cuts = np.flatnonzero(np.append(True, np.diff(units) != 0))
+        for at, to in zip(cuts.tolist(), np.append(cuts[1:], len(units)).tolist()):
+            named[at:to] = at + bitmap_groups(sizes[at:to], bits[at:to], percent).labels()
+        several = np.bincount(named, minlength=len(units))[named] > 1
+        out = table.select(["doc_id", "n", "lo", "hi"]).append_column("unit", pa.array(ids[named]))
+        return out.select(["doc_id", "unit", "n", "lo", "hi"]).filter(pa.array(several))
+
+    return run
+
+
 def _join_units(k: int, percent: int):
     """All units of a bin, one after the other. Their texts travel, not their sets, which are larger."""
 
@@ -440,13 +515,24 @@ def _large_units(rows: DataFrame, percent: int, unit_shingles: int) -> DataFrame
 # ---- the join ---------------------------------------------------------------
 
 
+def _weights(asked: DataFrame, percent: int, unit_shingles: int) -> tuple[DataFrame, int, int]:
+    """Shingles of each unit that may link something, those of the largest, and the number of bins for all."""
+    weights = asked.groupBy("unit").agg(F.sum("n").alias("weight"), F.count("*").alias("docs"), F.min("hi").alias("low"), F.max("lo").alias("high"))
+    # A unit of two whose sizes are too far apart links nothing (a repeated id may have several sizes).
+    weights = weights.where(f"docs > 2 or (docs = 2 and 100 * low >= {percent} * high)").select("unit", "weight")
+    weights = written(weights, "weights")
+    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.coalesce(F.max("weight"), F.lit(0)).alias("most")).first()
+    return weights, int(total["most"]), int(total["n"]) // unit_shingles + 1
+
+
 def similar_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest connected doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = written(_base(texts, k), "shingles")
     counts = _frequencies(base)
-    sized = base.where("chunk is null").select("doc_id", "n_shingles", "digest")
-    known = sized.where("n_shingles > 0 and doc_id is not null")
+    rows = base.where("chunk is null")
+    sized = rows.select("doc_id", "n_shingles")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first <> _last").select("digest", "first")
     copies = written(known.join(firsts, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
     routes = _route_edges(_routes(texts.where("doc_id is not null"), counts, k, percent))
@@ -461,21 +547,25 @@ def similar_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, u
         .join(known.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")), "doc_id"),
         "members",
     )
-    weights = asked.groupBy("unit").agg(F.sum("n").alias("weight"), F.count("*").alias("docs"), F.min("hi").alias("low"), F.max("lo").alias("high"))
-    # A unit of two whose sizes are too far apart links nothing (a repeated id may have several sizes).
-    weights = weights.where(f"docs > 2 or (docs = 2 and 100 * low >= {percent} * high)").select("unit", "weight")
-    weights = written(weights, "weights")
-    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.coalesce(F.max("weight"), F.lit(0)).alias("most")).first()
-    bins = int(total["n"]) // unit_shingles + 1
+    weights, most, bins = _weights(asked, percent, unit_shingles)
     large = F.col("weight") > 2 * unit_shingles
+    bin_of = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n)).alias("bin")
+    # Merge joins throughout: what moves is in proportion to the input at every size.
+    bits = known.select("doc_id", F.col("n_shingles").alias("size"), "bits")
+    small = bits.join(asked.join(weights.where(~large), "unit").drop("weight").hint("merge"), "doc_id")
+    asked = written(
+        small.groupBy(bin_of(bins)).applyInArrow(_split_units(percent), _MEMBER)
+        .unionByName(asked.join(weights.where(large), "unit").select("doc_id", "unit", "n", "lo", "hi")).distinct(),
+        "groups",
+    )
+    weights, most, bins = _weights(asked, percent, unit_shingles)
 
     def rows_of(which) -> DataFrame:
         wanted = written(asked.join(weights.where(which), "unit").select("doc_id", "unit"), "wanted")
-        return texts.join(wanted, "doc_id").select("unit", F.col("doc_id").alias("doc"), "text")
+        return texts.join(wanted.hint("merge"), "doc_id").select("unit", F.col("doc_id").alias("doc"), "text")
 
-    bin_of = F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin")
-    edges = rows_of(~large).groupBy(bin_of).applyInArrow(_join_units(k, percent), "a long, b long")
-    if total["most"] > 2 * unit_shingles:
+    edges = rows_of(~large).groupBy(bin_of(bins)).applyInArrow(_join_units(k, percent), "a long, b long")
+    if most > 2 * unit_shingles:
         edges = edges.unionByName(_large_units(_sets(rows_of(large), k), percent, unit_shingles))
     found = connected(edges.unionByName(copies)).withColumnRenamed("node", "doc_id")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
