@@ -3,8 +3,8 @@
 Every text is a layer. A layer is scanned, then unwrapped: percent signs, Unicode
 escapes and character references are decoded in place, base64 runs become layers of
 their own, and compressed contents of such runs are expanded. New layers join the
-worklist until none is new; a layer whose content was seen ends its branch, so cycles
-end. Each character of a layer knows the characters of the whole text it came from.
+worklist until none is new; a layer whose content was seen at the same place ends its
+branch, so cycles end and equal contents at other places are found there too. Each character of a layer knows the characters of the whole text it came from.
 
 Defined cases: a null text is an empty one without spans; null and repeated ids are
 scanned like any other row; equal spans of several layers count once; an empty table
@@ -99,6 +99,12 @@ class Layer:
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
+    def key(self) -> tuple[str, bytes]:
+        """The content and a digest of the place it came from."""
+        from hashlib import blake2b
+
+        return self.text, blake2b(self.starts.tobytes() + self.ends.tobytes()).digest()
+
     def replaced(self, pattern: re.Pattern, decode) -> "Layer | None":
         """The layer with every run that ``decode`` understands decoded in place."""
         texts, starts, ends, at = [], [], [], 0
@@ -162,20 +168,23 @@ def find_secrets(text: str, limit: int = MAX_LAYER) -> tuple[list, list, int, in
     """Base spans, all spans (both sorted), the number of layers and of refused contents."""
     base = sorted(scan(text))
     spans, refused = set(base), 0
-    work, seen = [Layer(text)], {text}
+    # Equal contents are scanned once and mapped to every place; ``seen`` holds no key of the text itself.
+    work, seen, scans = [Layer(text)], set(), {}
     while work:
         layer = work.pop()
         if layer.starts is not None:
-            for start, kind, end in scan(layer.text):
+            if layer.text not in scans:
+                scans[layer.text] = scan(layer.text)
+            for start, kind, end in scans[layer.text]:
                 a, b = layer.origin(start, end)
                 spans.add((a, kind, b))
         for inner in unwrapped(layer, limit):
             if inner is None:
                 refused += 1
-            elif inner.text not in seen:
-                seen.add(inner.text)
+            elif (key := inner.key()) not in seen:
+                seen.add(key)
                 work.append(inner)
-    return base, sorted(spans), len(seen), refused
+    return base, sorted(spans), 1 + len(seen), refused
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
