@@ -43,6 +43,11 @@ def _fit(rows, name, estimator):
     return models.fit(name, estimator, train, names, scaler), test
 
 
+def _tuned(rows, name):
+    train, test, names, scaler = split(rows)
+    return models.tuned(name, train, names, scaler)[0], test
+
+
 def _scores(fitted, test):
     guessed = fitted.predict_scaled(test).select(
         F.lit(fitted.name).alias("model"), F.col("target").alias("actual"), F.col("prediction").alias("predicted")
@@ -52,12 +57,12 @@ def _scores(fitted, test):
 
 @query()
 def fit_gbt(spark, sf_dir):
-    return _scores(*_fit(labelled_table(spark, sf_dir), "gbt", models.gbt(maxIter=20, maxDepth=4)))
+    return _scores(*_tuned(labelled_table(spark, sf_dir), "gbt"))
 
 
 @query()
 def fit_rf(spark, sf_dir):
-    return _scores(*_fit(labelled_table(spark, sf_dir), "forest", models.forest(numTrees=40, maxDepth=8)))
+    return _scores(*_tuned(labelled_table(spark, sf_dir), "forest"))
 
 
 @query()

@@ -17,12 +17,8 @@ from airspark.session import written
 LISTED = ["gbt", "forest", "robust_linear", "seasonal_ar", "harmonic"]
 
 
-def estimators() -> dict[str, object]:
-    return {
-        "gbt": models.gbt(maxIter=50, maxDepth=5),
-        "forest": models.forest(numTrees=100, maxDepth=10),
-        "robust_linear": models.robust_linear(),
-    }
+#: Learned models that are tuned unless settings are given.
+TUNED = ["gbt", "forest", "robust_linear"]
 
 
 def series_scores(rows: DataFrame) -> DataFrame:
@@ -42,14 +38,18 @@ def train_and_compare(
 ) -> tuple[DataFrame, int | None]:
     """Fit the models, score them on held-out rows, and register the winner under ``root``.
 
-    Learned models are scored 72 hours ahead from the last ``last`` test origins
+    Settings of the learned models are searched (``models.tuned``) unless estimators are
+    ``chosen``. Learned models are scored 72 hours ahead from the last ``last`` test origins
     of each station (all of them with ``None``); the per-station models over the
     whole test part. Only models that can be stored take part in the choice.
     """
     rows = written(chrono_split(labelled(df)), "labelled")
     scaled, names, scaler = scaled_set(rows)
     train = scaled.where("is_train")
-    fitted = {n: models.fit(n, e, train, names, scaler) for n, e in (chosen or estimators()).items()}
+    if chosen:
+        fitted = {n: models.fit(n, e, train, names, scaler) for n, e in chosen.items()}
+    else:
+        fitted = {n: models.tuned(n, train, names, scaler)[0] for n in TUNED}
     scores = [backtest_t72(rows, ~F.col("is_train"), f, last) for f in fitted.values()]
     # Each score is one row; they are computed once and then used several times.
     table = written(reduce(DataFrame.unionByName, [*scores, series_scores(rows)]), "scores")
