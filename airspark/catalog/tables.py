@@ -58,6 +58,13 @@ def pick_current(spark, sf_dir):
     return payload.pick_current(kept, "2024-01-30 12:40:00")
 
 
+@query(f"with {OBS}, n as (select *, row_number() over (partition by station_id order by ts > {NOW_SQL}, abs(epoch_us(ts) - epoch_us({NOW_SQL}))) r from obs)"
+       f" select station_id, ts, {COLUMNS}, ts > {NOW_SQL} is_forecast from n where r = 1")
+def pick_current_whole(spark, sf_dir):
+    """The current row of every station, from all rows."""
+    return payload.pick_current(fx.observations(spark, sf_dir), "2024-01-30 12:40:00")
+
+
 @query(f"with {OBS}, s as (select station_id, cast(min(ts) as date) s, cast(max(ts) as date) e from obs group by 1),"
        " c as (select station_id, e, s, unnest(range(cast(floor(date_diff('day', s, e) / 8) as bigint) + 1)) i from s)"
        " select station_id, cast(i as int) chunk_id, cast(s + cast(i * 8 as int) as date) chunk_start, cast(least(s + cast(i * 8 + 7 as int), e) as date) chunk_end from c")
@@ -169,6 +176,13 @@ def latest_actual(spark, sf_dir):
     return store.newest_actual(kept, "2024-01-03 00:00:00")
 
 
+@query(f"with {OBS}, n as (select *, ts <= timestamp '2024-01-03' is_actual, row_number() over (partition by station_id order by ts <= timestamp '2024-01-03' desc, ts desc) r from obs)"
+       f" select station_id, ts, {COLUMNS}, is_actual from n where r = 1")
+def latest_actual_whole(spark, sf_dir):
+    """The newest actual row of every station, from all rows."""
+    return store.newest_actual(fx.observations(spark, sf_dir), "2024-01-03 00:00:00")
+
+
 @query(f"with {WITH_AQI}, n as (select *, row_number() over (partition by station_id order by ts desc) r from a where ts <= {NOW_SQL})"
        f" select station_id, cast(11 - r as int) place, ts, aqi, printf('%.1fh ago', (epoch_us({NOW_SQL}) - epoch_us(ts)) / 3600000000.0) age from n where r <= 10")
 def last_points(spark, sf_dir):
