@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airspark.llm.chat import chat_digest, format_chats
 from airspark.llm.common import table
 from airspark.llm.decontaminate import leaked_passages
+from airspark.llm.grayindex import near_groups
 from airspark.llm.jaccard import similar_documents
 from airspark.llm.lines import line_report
 from airspark.llm.packing import pack
@@ -155,3 +156,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines of all documents."""
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    return near_groups(table(spark, sf_dir, "documents"))
