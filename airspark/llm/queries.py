@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from airspark.llm.decontaminate import leaked_passages
 from airspark.llm.grayindex import near_groups
 from airspark.llm.jaccard import similar_documents
 from airspark.llm.lines import line_report
+from airspark.llm.manifest import tamper_check
 from airspark.llm.packing import pack
 from airspark.llm.pii import personal_spans, pii_digest
 from airspark.llm.secrets import secret_spans
@@ -162,3 +164,61 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql(source_levels: int = 5, root_levels: int = 4) -> str:
+    """The manifest level by level: enough for 16^5 rows of a source and 16^4 sources."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+
+    def leaf(text: str) -> str:
+        shown = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v})::varchar || ':' || {v}, '-')" for v in shown) + ")"
+
+    bits = "lambda c, k: xor(c >> 1, (c & 1) * 3988292384)"
+    step = f"lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), {bits})"
+    codes = "list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), {step}), 4294967295::bigint)"
+    parts = [
+        "d AS (SELECT doc_id, coalesce('-' || source, '') AS s, "
+        f"{leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(f'''translate(text, '{upper}', '{lower}')''')} END AS changed FROM documents)",
+        "t0 AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d)",
+        "a0 AS (SELECT s, i, n, leaf AS h FROM t0)",
+    ]
+
+    def tower(name: str, levels: int) -> None:
+        run = "OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(levels):
+            at = f"{name}{k}"
+            parts.append(
+                f"{name}_run{k} AS (SELECT s, i, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {at} WHERE n > 1)"
+            )
+            parts.append(
+                f"{name}{k + 1} AS (SELECT s, p AS i, m AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM"
+                f" (SELECT *, i // 16 AS p, (n + 15) // 16 AS m FROM {at} WHERE n > 1) GROUP BY s, p, m UNION ALL SELECT s, i, n, h FROM {at} WHERE n = 1)"
+            )
+
+    tower("a", source_levels)
+    parts.append(f"z AS (SELECT s AS name, '' AS s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n, h FROM a{source_levels})")
+    parts.append("b0 AS (SELECT s, i, n, h FROM z)")
+    tower("b", root_levels)
+    parts.append(
+        f"f0 AS (SELECT t0.*, z.h AS subroot, z.i AS zi, b{root_levels}.h AS root, '' AS proof, coalesce(changed, leaf) AS node FROM t0 JOIN z ON z.name = t0.s CROSS JOIN b{root_levels})"
+    )
+    hops = [(f"a_run{k}", f"x.s = y.s AND x.i = y.i // {16**k}") for k in range(source_levels)]
+    hops += [(f"b_run{k}", f"x.i = y.zi // {16**k}") for k in range(root_levels)]
+    for k, (run, on) in enumerate(hops):
+        parts.append(
+            f"f{k + 1} AS (SELECT y.* REPLACE (y.proof || coalesce(x.l || x.r, '') AS proof, CASE WHEN x.l IS NULL THEN y.node ELSE sha256(x.l || y.node || x.r) END AS node)"
+            f" FROM f{k} y LEFT JOIN {run} x ON {on})"
+        )
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified"
+        f" FROM f{len(hops)}"
+    )
+
+
+@query(_manifest_sql())
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, of which every fifth is read back in lower case."""
+    return tamper_check(table(spark, sf_dir, "documents"))
