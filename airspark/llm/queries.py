@@ -13,6 +13,7 @@ from airspark.llm.common import table
 from airspark.llm.decontaminate import leaked_passages
 from airspark.llm.grayindex import near_groups
 from airspark.llm.jaccard import similar_documents
+from airspark.llm.lexical import rank_documents
 from airspark.llm.lines import line_report
 from airspark.llm.manifest import tamper_check
 from airspark.llm.packing import pack
@@ -222,3 +223,32 @@ def _manifest_sql(source_levels: int = 5, root_levels: int = 4) -> str:
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proofs of all documents, of which every fifth is read back in lower case."""
     return tamper_check(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents WHERE text IS NOT NULL
+), size AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::bigint AS length FROM d
+), tf AS (
+  SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM tf, size GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, text, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // length))))::bigint AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), size GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id))::int AS rank FROM s WHERE score > 0
+) WHERE rank <= 50
+"""
+
+
+@query(OP11_SQL)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
