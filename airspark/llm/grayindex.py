@@ -37,9 +37,10 @@ SEED = 42
 BITS = 4
 #: Children of an index node.
 FAN = 4
-#: Fingerprints of a block. Where that makes more than ``MOST_BLOCKS``, blocks grow.
-BLOCK_ROWS = 1 << 14
-MOST_BLOCKS = 1024
+#: Blocks of an index. More than the fewest are made so that none holds more than
+#: ``BLOCK_ROWS`` fingerprints, and blocks grow only where that takes more than the most.
+FEWEST_BLOCKS, MOST_BLOCKS = 16, 1024
+BLOCK_ROWS = 1 << 20
 #: Fingerprints that start a walk together, and nodes looked at in one step.
 QUERIES, STEP = 256, 1 << 18
 #: Keys with more rows than this share of all are joined by broadcast: at most as many keys.
@@ -228,9 +229,7 @@ def links(block: np.ndarray, others: np.ndarray | None, bits: int = BITS) -> tup
 
 def _cuts(keys: DataFrame, n: int) -> np.ndarray:
     """Ranks at which the blocks after the first begin, about equally many fingerprints apart."""
-    blocks = min(MOST_BLOCKS, -(-n // BLOCK_ROWS))
-    if blocks < 2:
-        return np.empty(0, np.int64)
+    blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, -(-n // BLOCK_ROWS)))
     shares = [i / blocks for i in range(1, blocks)]
     found = keys.agg(F.percentile_approx("rank", shares, 100 * MOST_BLOCKS)).first()[0]
     return np.unique(np.array(found, np.int64))
