@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from airspark.operators.eda import correlations_with
 from airspark.plans.dataset import sample_rows
+from airspark.plans.ensemble import as_ensemble
 from airspark.plans.models import VECTOR, Fitted
 from airspark.schema import STATION, TS
 
@@ -90,6 +94,30 @@ def shapley(
     )
 
 
+def tree_shapley(instances: DataFrame, fitted: Fitted, key: list[str]) -> DataFrame:
+    """Exact Shapley values of a tree ensemble, by the training weights along its paths.
+
+    ``instances`` holds scaled features. The impacts of a row add up to its prediction
+    minus the ensemble's base value. Rows stay where they are; a row that lacks a feature
+    has NULL impacts.
+    """
+    trees = as_ensemble(instances.sparkSession, fitted.model)
+    names = fitted.names
+    rows = instances.select(*key, _vector(names).alias("_x"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_impact", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(len(key)).flatten().fill_null(np.nan)).reshape(-1, len(names))
+            out = np.where(np.isnan(x).any(axis=1)[:, None], np.nan, trees.shapley(np.nan_to_num(x)))
+            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(names), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_impact"])
+
+    items = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("_x").alias("value"), F.col("_impact").alias("impact"))
+    return rows.mapInArrow(run, schema).select(*key, F.inline(items))
+
+
 def importance(attributions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean size and mean of the attributions per feature, ranked by size."""
     by = by or []

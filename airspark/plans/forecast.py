@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-from airspark.functions.timefn import add_hours
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from airspark.functions.timefn import HOUR_US, add_hours
 from airspark.operators.series import last_rows, row_windowed
+from airspark.plans.ensemble import as_ensemble, is_ensemble
 from airspark.plans.evaluate import actual_ahead, live_scores, regression_metrics
 from airspark.plans.models import Fitted, assemble, raw_weights
 from airspark.plans.serving import KEEP, calendar_columns, day_sums, history_columns, serving_columns
@@ -88,7 +95,8 @@ def linear_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> Da
 def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:
     """The same for any model: one prediction of all origins per step.
 
-    The plan is cut with a checkpoint every few steps, so its size is bounded.
+    The plan is cut with a checkpoint every few steps, so its size is bounded. A step whose
+    inputs are not all known gives NULL.
     """
     use_checkpoints(states.sparkSession)
     names = [*POLLUTANTS] + (["aqi_change_rate"] if "aqi_change_rate" in states.columns else [])
@@ -100,7 +108,9 @@ def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) ->
         for n in fitted.names
     ]
     held = [c for c in states.columns if c not in (*POLLUTANTS, "hist")]
-    y = F.col("prediction")
+    inputs = [f"f_{n}" for n in fitted.names]
+    whole = reduce(and_, [F.col(n).isNotNull() for n in inputs])
+    y = F.when(whole, F.col("prediction"))
     after = [
         *held,
         (F.col("_k") + 1).alias("_k"),
@@ -109,18 +119,122 @@ def stepwise_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) ->
         F.concat("forecast", F.array(y)).alias("forecast"),
     ]
     now = states.withColumns({"_k": F.lit(1), "forecast": F.array().cast("array<double>")})
-    inputs = [f"f_{n}" for n in fitted.names]
     for step in range(1, steps + 1):
-        guessed = fitted.model.transform(assemble(now.select("*", *scaled), inputs))
+        guessed = fitted.model.transform(assemble(now.select("*", *scaled), inputs, "keep"))
         now = guessed.select(*after)
         if step % CHECKPOINT_EVERY == 0 and step < steps:
             now = now.checkpoint()
     return now.drop("_k")
 
 
+def _calendar(hours: np.ndarray) -> dict[str, np.ndarray]:
+    """``calendar_columns`` of instants counted in microseconds."""
+    at = hours.astype("datetime64[us]")
+    day, month = at.astype("datetime64[D]"), at.astype("datetime64[M]")
+    hour = (at - day).astype(np.int64) // HOUR_US
+    number = month.astype(np.int64) % 12 + 1
+    angle = {"hour": 2.0 * np.pi * hour / 24.0, "month": 2.0 * np.pi * number / 12.0}
+    return {
+        **{f"{n}_sin": np.sin(a) for n, a in angle.items()},
+        **{f"{n}_cos": np.cos(a) for n, a in angle.items()},
+        "hour_raw": hour,
+        "month": number,
+        "day": (day - month.astype("datetime64[D]")).astype(np.int64) + 1,
+        "is_weekend": (day.astype(np.int64) + 3) % 7 >= 5,  # day 0 was a Thursday
+    }
+
+
+class _Walk:
+    """The states of many origins, moved ahead together; missing values are NaN."""
+
+    def __init__(self, batch: pa.RecordBatch, steps: int):
+        hist = batch.column(batch.schema.get_field_index("hist"))
+        begin = hist.offsets.to_numpy()
+        sizes = np.diff(begin)
+        known = np.asarray(hist.values.cast(pa.float64()).fill_null(np.nan))
+        # Newest values lie right before ``at``; there is room for the steps to come.
+        self.line = np.full((len(sizes), KEEP + steps), np.nan)
+        for k in range(1, KEEP + 1):
+            has = sizes >= k
+            self.line[has, KEEP - k] = known[begin[1:][has] - k]
+        self.at, self.sizes = KEEP, sizes
+        self.values = {c: self._column(batch, c) for c in (*POLLUTANTS, "aqi_change_rate") if c in batch.schema.names}
+        self.rate = self.values.pop("aqi_change_rate", None)
+        self.start = np.asarray(batch.column(batch.schema.get_field_index(TS)).cast(pa.int64()))
+
+    @staticmethod
+    def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return np.asarray(batch.column(batch.schema.get_field_index(name)).cast(pa.float64()).fill_null(np.nan))
+
+    def features(self, step: int) -> dict[str, np.ndarray]:
+        now, n = self.values["pm2_5"], np.minimum(self.sizes, KEEP)
+        long, day = n >= KEEP, n >= 24
+
+        def back(k: int) -> np.ndarray:
+            return self.line[:, self.at - k]
+
+        out = dict(self.values)
+        for k in (1, 2, 3, 24, 48, 72):
+            out[f"pm2_5_lag{k}"] = np.where(long, back(k), now)
+        out["diff_1h"] = np.where(day, now - back(1), 0.0)
+        out["diff_24h"] = np.where(day, now - back(24), 0.0)
+        out["diff_1h_acc"] = np.where(day, (now - back(1)) - (back(1) - back(2)), 0.0)
+        out["recent_hour_avg"] = (out["pm2_5_lag24"] + out["pm2_5_lag48"] + out["pm2_5_lag72"]) / 3.0
+        last = self.line[:, self.at - 24 : self.at]
+        mean = last.sum(axis=1) / 24.0
+        variance = np.maximum((last * last).sum(axis=1) / 24.0 - mean * mean, 0.0) * (24.0 / 23.0)
+        out["pm2_5_rolling_mean_24h"] = np.where(day, mean, now)
+        out["pm2_5_rolling_std_24h"] = np.where(day, np.sqrt(variance), 0.0)
+        if self.rate is not None:
+            out["aqi_change_rate"] = self.rate
+        else:
+            previous = back(1)
+            up = (n >= 2) & (previous > 0)
+            out["aqi_change_rate"] = np.where(up, (now - previous) / np.where(up, previous, 1.0), 0.0)
+        return {**out, **_calendar(self.start + step * HOUR_US)}
+
+    def move(self, guess: np.ndarray) -> None:
+        now = self.values["pm2_5"]
+        scale = np.where(now > 0, guess / np.where(now > 0, now, 1.0), 1.0)
+        moved = {p: self.values[p] * scale for p in FOLLOWERS}
+        self.values = {**moved, "pm2_5": guess, "o3": self.values["o3"] * OZONE_DECAY}
+        self.line[:, self.at] = guess
+        self.at, self.sizes = self.at + 1, self.sizes + 1
+
+
+def tree_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:
+    """Add the array ``forecast`` by walking all steps of many origins at once in each task.
+
+    The ensemble is sent to the tasks as arrays. Origins are not moved: one pass, whatever
+    the number of steps. A step whose inputs are not all known gives NULL, as do all after it.
+    """
+    trees = as_ensemble(states.sparkSession, fitted.model)
+    names = fitted.names
+    mean = np.array([fitted.scaler.mean[n] for n in names], float)
+    width = np.array([fitted.scaler.divisor(n) for n in names], float)
+    schema = T.StructType([*states.schema.fields, T.StructField("forecast", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walk = _Walk(batch, steps)
+            out = np.full((batch.num_rows, steps), np.nan)
+            for step in range(1, steps + 1):
+                features = walk.features(step)
+                x = (np.stack([np.asarray(features[n], float) for n in names], axis=1) - mean) / width
+                whole = ~np.isnan(x).any(axis=1)
+                out[whole, step - 1] = trees.predict(x[whole])
+                walk.move(out[:, step - 1])
+            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * steps, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "forecast"])
+
+    return states.mapInArrow(run, schema)
+
+
 def recursive_forecast(states: DataFrame, fitted: Fitted, steps: int = STEPS) -> DataFrame:
-    linear = hasattr(fitted.model, "coefficients")
-    return linear_forecast(states, fitted, steps) if linear else stepwise_forecast(states, fitted, steps)
+    if hasattr(fitted.model, "coefficients"):
+        return linear_forecast(states, fitted, steps)
+    return (tree_forecast if is_ensemble(fitted.model) else stepwise_forecast)(states, fitted, steps)
 
 
 def or_last_value(forecasts: DataFrame, steps: int = STEPS) -> DataFrame:
