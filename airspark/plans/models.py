@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
@@ -21,6 +26,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspark.plans.dataset import Scaler, contiguous_folds
+from airspark.plans.ensemble import compiled
 from airspark.schema import STATION, TS
 
 SEED = 42
@@ -34,6 +40,7 @@ GBT_GRID = {
     "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
     "minInstancesPerNode": [1, 3, 5],
     "minInfoGain": [0.0, 0.1, 0.2, 0.3],
+    "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9", "1.0"],
 }
 RF_GRID = {
     "numTrees": [50, 100, 200, 300, 500],
@@ -42,6 +49,10 @@ RF_GRID = {
     "featureSubsetStrategy": ["sqrt", "log2", "all"],
     "bootstrap": [True, False],
 }
+#: The setting that says how many trees an ensemble has.
+SIZES = ["maxIter", "numTrees"]
+#: Rows of a partition of training rows. Ensembles make a small job per level of every tree.
+FIT_ROWS = 50_000
 LINEAR_GRID = {"regParam": [0.0, 0.01, 0.1, 1.0], "epsilon": [1.05, 1.2, 1.35, 2.0]}
 
 
@@ -83,17 +94,28 @@ class Fitted:
         return guessed.select(STATION, TS, F.when(whole, F.col("prediction")).alias("prediction"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows kept in memory and on disk, few partitions where there are few rows."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, -(-kept.count() // FIT_ROWS))
+    if parts >= kept.rdd.getNumPartitions():
+        return kept
+    few = rows.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    few.count()
+    kept.unpersist()
+    return few
+
+
 def fit(name: str, estimator, train: DataFrame, names: list[str], scaler: Scaler) -> Fitted:
     """Fit on scaled training rows, which are kept only while iterating over them."""
-    rows = assemble(train, names).select(VECTOR, "target").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = packed(assemble(train, names).select(VECTOR, "target"))
     try:
         return Fitted(name, estimator.fit(rows), names, scaler)
     finally:
         rows.unpersist()
 
 
-def draw_settings(estimator, grid: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
-    """``n`` different settings drawn from the grid, the same ones for the same seed."""
+def _drawn(grid: dict[str, list], n: int, seed: int) -> list[dict]:
     rng = random.Random(seed)
     total = 1
     for values in grid.values():
@@ -103,7 +125,71 @@ def draw_settings(estimator, grid: dict[str, list], n: int, seed: int = SEED) ->
         pick = {k: rng.choice(v) for k, v in grid.items()}
         if pick not in chosen:
             chosen.append(pick)
-    return [{estimator.getParam(k): v for k, v in pick.items()} for pick in chosen]
+    return chosen
+
+
+def draw_settings(estimator, grid: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
+    """``n`` different settings drawn from the grid, the same ones for the same seed."""
+    return [{estimator.getParam(k): v for k, v in pick.items()} for pick in _drawn(grid, n, seed)]
+
+
+def draw_families(grid: dict[str, list], size: str, n: int, seed: int = SEED) -> list[dict]:
+    """``n`` settings in families that differ in their number of trees alone.
+
+    Each of the drawn families has every size of the grid, the last one as many as are left.
+    """
+    rest = {k: v for k, v in grid.items() if k != size}
+    families = _drawn(rest, -(-n // len(grid[size])), seed)
+    return [{**f, size: v} for f in families for v in sorted(grid[size])][:n]
+
+
+def _squares_of_firsts(rows: DataFrame, model: Model, sizes: list[int]) -> tuple[int, list[float]]:
+    """How many rows there are, and the squared errors of the first trees alone, per size, in one pass."""
+    trees, mean = compiled(rows.sparkSession, model), "RandomForest" in type(model).__name__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(len(sizes))
+        for batch in batches:
+            y = np.asarray(batch.column("y"))
+            x = np.asarray(batch.column("x").flatten()).reshape(len(y), -1)
+            n, total = n + len(y), total + ((trees.predict_first(x, sizes, mean) - y[:, None]) ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "squares"])
+
+    parts = rows.select(vector_to_array(VECTOR).alias("x"), F.col("target").alias("y")).mapInArrow(run, "n long, squares array<double>")
+    row = parts.agg(F.sum("n").alias("n"), *[F.sum(F.get("squares", F.lit(i))).alias(f"s{i}") for i in range(len(sizes))]).first()
+    return row["n"] or 0, [row[f"s{i}"] for i in range(len(sizes))]
+
+
+def shared_search(estimator, settings: list[dict], size: str, rows: DataFrame, folds: int, parallelism: int) -> list[float]:
+    """The mean error over the folds of every setting, from one fit per fold and family.
+
+    The first trees of a large ensemble are a smaller one: for boosting the very one that
+    the smaller number would give, for forests one with other random draws. So settings
+    that differ in their number of trees alone share the fit of the largest.
+    """
+    families: dict[tuple, list[int]] = {}
+    for i, s in enumerate(settings):
+        families.setdefault(tuple((k, v) for k, v in s.items() if k != size), []).append(i)
+    fold_rows = [(packed(rows.where(F.col("fold") != f)), rows.where(F.col("fold") == f)) for f in range(folds)]
+
+    def run(task: tuple[int, tuple]) -> dict[int, float]:
+        fold, family = task
+        members = families[family]
+        sizes = [settings[i][size] for i in members]
+        params = {estimator.getParam(k): v for k, v in [*family, (size, max(sizes))]}
+        n, squares = _squares_of_firsts(fold_rows[fold][1], estimator.fit(fold_rows[fold][0], params), sizes)
+        return {i: (s / n) ** 0.5 for i, s in zip(members, squares)} if n else {}
+
+    tasks = [(f, family) for family in families for f in range(folds)]
+    spark = rows.sparkSession
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(run), tasks))
+    finally:
+        for train, _ in fold_rows:
+            train.unpersist()
+    scores = [[errors[i] for errors in found if i in errors] for i in range(len(settings))]
+    return [sum(s) / len(s) if s else float("nan") for s in scores]
 
 
 def random_search(
@@ -115,29 +201,36 @@ def random_search(
     scaler: Scaler,
     n_iter: int = 20,
     folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> tuple[Fitted, list[dict]]:
-    """Random search over consecutive folds of all training rows; the winner is fitted on them."""
-    rows = assemble(contiguous_folds(train, folds), names).select(VECTOR, "target", "fold")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    settings = draw_settings(estimator, grid, n_iter)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=settings,
-        evaluator=RegressionEvaluator(labelCol="target", metricName="rmse"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
+    """Random search over consecutive folds of all training rows; the winner is fitted on them.
+
+    Ensembles are drawn and scored in families that share their fits (``shared_search``).
+    """
+    rows = packed(assemble(contiguous_folds(train, folds), names).select(VECTOR, "target", "fold"))
+    size = next((s for s in SIZES if s in grid), None)
     try:
-        found = search.fit(rows)
+        if size:
+            drawn = draw_families(grid, size, n_iter)
+            scores = shared_search(estimator, drawn, size, rows, folds, parallelism)
+            best = drawn[int(np.nanargmin(scores))]
+            model = estimator.fit(rows, {estimator.getParam(k): v for k, v in best.items()})
+        else:
+            settings = draw_settings(estimator, grid, n_iter)
+            search = CrossValidator(
+                estimator=estimator,
+                estimatorParamMaps=settings,
+                evaluator=RegressionEvaluator(labelCol="target", metricName="rmse"),
+                numFolds=folds,
+                foldCol="fold",
+                parallelism=parallelism,
+            )
+            found = search.fit(rows)
+            drawn, scores, model = [{p.name: v for p, v in s.items()} for s in settings], found.avgMetrics, found.bestModel
     finally:
         rows.unpersist()
-    report = [
-        {"settings": ", ".join(f"{p.name}={v}" for p, v in s.items()), "rmse": float(m)}
-        for s, m in zip(settings, found.avgMetrics)
-    ]
-    return Fitted(name, found.bestModel, names, scaler), report
+    report = [{"settings": ", ".join(f"{p}={v}" for p, v in s.items()), "rmse": float(m)} for s, m in zip(drawn, scores)]
+    return Fitted(name, model, names, scaler), report
 
 
 def tuned(name: str, train: DataFrame, names: list[str], scaler: Scaler, n_iter: int | None = None, folds: int = 3) -> tuple[Fitted, list[dict]]:
