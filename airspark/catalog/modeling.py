@@ -87,6 +87,23 @@ def stationarity(spark, sf_dir):
     return rounded(univariate.stationarity(fx.observations(spark, sf_dir)), "slope", "t_value")
 
 
+_LAG2 = f"with {OBS}, l as (select station_id, pm2_5 - lag(pm2_5) {W} y, lag(pm2_5) {W} v, lag(pm2_5) {W} - lag(pm2_5, 2) {W} u from obs), g as (select * from l where u is not null)"
+
+
+@query(f"{_LAG2}, s as (select station_id, count(*) n, regr_sxx(y, v) a, regr_sxx(y, u) b, regr_sxy(v, u) c, regr_sxy(y, v) p, regr_sxy(y, u) q, regr_syy(y, v) yy from g group by 1),"
+       " f as (select *, a * b - c * c det, (p * b - q * c) / (a * b - c * c) slope, (q * a - p * c) / (a * b - c * c) step from s),"
+       " t as (select *, slope / sqrt((yy - slope * p - step * q) / (n - 3) * b / det) t from f)"
+       f" select station_id, n, 1::int lags, {q6('slope')} slope, {q6('t')} t_value, t < -2.86 stationary, cast(case when t < -2.86 then 0 else 1 end as int) differences from t")
+def stationarity_one_lag(spark, sf_dir):
+    """The augmented test with one earlier step."""
+    return rounded(univariate.augmented_stationarity(fx.observations(spark, sf_dir), most_lags=1, lags=1), "slope", "t_value")
+
+
+@query()
+def stationarity_by_aic(spark, sf_dir):
+    return univariate.augmented_stationarity(fx.observations(spark, sf_dir))
+
+
 @query()
 def fit_seasonal_ar(spark, sf_dir):
     return univariate.fit_seasonal_ar(fx.observations(spark, sf_dir))

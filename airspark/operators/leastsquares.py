@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -65,3 +66,47 @@ def solve(sums: DataFrame, size: int) -> DataFrame:
 
 def grouped_least_squares(df: DataFrame, keys: list[str], y: Column, xs: list[Column]) -> DataFrame:
     return solve(gram(df, keys, y, xs), len(xs))
+
+
+def wide_gram(df: DataFrame, keys: list[str], y: Column, xs: Column) -> DataFrame:
+    """``gram`` for many regressors, given as one array column: tasks multiply whole batches.
+
+    Every task hands on one row of sums per group and batch; they are added per entry, so
+    a group with very many rows is no larger a task than any other. Rows with a missing
+    entry must be filtered out before.
+    """
+    named = df.select(*keys, y.cast("double").alias("_y"), xs.cast("array<double>").alias("_x"))
+    fields = [f for f in named.schema if f.name in keys]
+    arrays = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("all", arrays)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(len(keys) + 1).flatten()).reshape(batch.num_rows, -1)
+            whole = np.column_stack((x, np.asarray(batch.column(len(keys)))))
+            upper = np.triu_indices(whole.shape[1])
+            table = pa.table({k: batch.column(i) for i, k in enumerate(keys)}).append_column("_row", pa.array(np.arange(batch.num_rows)))
+            groups = table.group_by(keys).aggregate([("_row", "list")])
+            out = []
+            for rows in groups.column("_row_list").to_pylist():
+                part = whole[rows]
+                out.append((len(rows), (part.T @ part)[upper].tolist()))
+            columns = [groups.column(k).combine_chunks() for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([n for n, _ in out]), pa.array([a for _, a in out], pa.list_(pa.float64()))], names=[*keys, "n", "all"]
+            )
+
+    parts = named.mapInArrow(sums, schema)
+    entries = parts.select(*keys, "n", F.posexplode("all").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    merged = entries.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_i", "_v")))["_v"].alias("all"))
+    return merged
+
+
+def whole_gram(flat: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of ``wide_gram``'s sums; its last row and column are y's."""
+    size = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
+    out = np.zeros((size, size))
+    out[np.triu_indices(size)] = flat
+    return out + np.triu(out, 1).T
