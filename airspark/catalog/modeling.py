@@ -67,13 +67,25 @@ def fit_rf(spark, sf_dir):
 
 @query()
 def fit_robust_linear(spark, sf_dir):
-    return _scores(*_fit(labelled_table(spark, sf_dir), "robust_linear", models.robust_linear()))
+    return _scores(*_tuned(labelled_table(spark, sf_dir), "robust_linear"))
+
+
+@query()
+def fit_huber(spark, sf_dir):
+    return _scores(*_fit(labelled_table(spark, sf_dir), "huber", models.robust_linear()))
 
 
 @query()
 def random_search(spark, sf_dir):
     train, _, names, scaler = split(labelled_table(spark, sf_dir))
-    _, report = models.random_search("robust_linear", models.robust_linear(), models.LINEAR_GRID, train, names, scaler, n_iter=15)
+    _, report = models.tuned("robust_linear", train, names, scaler)
+    return spark.createDataFrame(report, "settings string, rmse double")
+
+
+@query()
+def random_search_huber(spark, sf_dir):
+    train, _, names, scaler = split(labelled_table(spark, sf_dir))
+    _, report = models.random_search("huber", models.robust_linear(), models.HUBER_GRID, train, names, scaler, n_iter=15)
     return spark.createDataFrame(report, "settings string, rmse double")
 
 

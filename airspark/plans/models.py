@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspark.plans.dataset import Scaler, contiguous_folds
 from airspark.plans.ensemble import compiled
+from airspark.plans.margin import margin_search
 from airspark.schema import STATION, TS
 
 SEED = 42
@@ -53,7 +54,9 @@ RF_GRID = {
 SIZES = ["maxIter", "numTrees"]
 #: Rows of a partition of training rows. Ensembles make a small job per level of every tree.
 FIT_ROWS = 50_000
-LINEAR_GRID = {"regParam": [0.0, 0.01, 0.1, 1.0], "epsilon": [1.05, 1.2, 1.35, 2.0]}
+HUBER_GRID = {"regParam": [0.0, 0.01, 0.1, 1.0], "epsilon": [1.05, 1.2, 1.35, 2.0]}
+# Weights of the loss and widths of the margin.
+LINEAR_GRID = {"C": [0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0], "epsilon": [0.0, 0.05, 0.1, 0.2, 0.5]}
 
 
 def assemble(df: DataFrame, names: list[str], missing: str = "error") -> DataFrame:
@@ -233,13 +236,23 @@ def random_search(
     return Fitted(name, model, names, scaler), report
 
 
+def tuned_margin(name: str, train: DataFrame, names: list[str], scaler: Scaler, n_iter: int = 15, folds: int = 3) -> tuple[Fitted, list[dict]]:
+    """Epsilon-insensitive linear regression; all draws and folds are fitted in the same passes."""
+    rows = packed(assemble(contiguous_folds(train, folds), names).select(VECTOR, "target", "fold"))
+    drawn = _drawn(LINEAR_GRID, n_iter, SEED)
+    try:
+        model, errors = margin_search(rows, drawn, folds)
+    finally:
+        rows.unpersist()
+    report = [{"settings": ", ".join(f"{k}={v}" for k, v in s.items()), "rmse": e} for s, e in zip(drawn, errors)]
+    return Fitted(name, model, names, scaler), report
+
+
 def tuned(name: str, train: DataFrame, names: list[str], scaler: Scaler, n_iter: int | None = None, folds: int = 3) -> tuple[Fitted, list[dict]]:
     """A listed model with settings found by random search over its grid."""
-    estimator, grid, draws = {
-        "gbt": (gbt(), GBT_GRID, 25),
-        "forest": (forest(), RF_GRID, 25),
-        "robust_linear": (robust_linear(), LINEAR_GRID, 15),
-    }[name]
+    if name == "robust_linear":
+        return tuned_margin(name, train, names, scaler, n_iter or 15, folds)
+    estimator, grid, draws = {"gbt": (gbt(), GBT_GRID, 25), "forest": (forest(), RF_GRID, 25)}[name]
     return random_search(name, estimator, grid, train, names, scaler, n_iter or draws, folds)
 
 
