@@ -6,7 +6,7 @@ from importlib import import_module
 
 from airspark.catalog.registry import QUERIES, SQL
 
-MODULES = ["values", "summaries", "tables", "learning", "modeling"]
+MODULES = ["values", "summaries", "tables", "learning", "modeling", "fixed"]
 
 
 def load() -> tuple[dict, dict]:
