@@ -11,14 +11,16 @@ from airspark import fixtures as fx
 from airspark.catalog.learning import LABELLED_SQL, FULL_SQL, W, _state_sql, rated
 from airspark.catalog.modeling import WEIGHTS, labelled_table
 from airspark.catalog.registry import q6, query, rounded
-from airspark.catalog.summaries import union_all
+from airspark.catalog.sql import NOW_SQL
+from airspark.catalog.summaries import RATED, union_all
 from airspark.operators.features import full_features
-from airspark.plans import dataset, explain, forecast
+from airspark.plans import dataset, evaluate, explain, forecast, models
 from airspark.plans.dataset import Scaler
 from airspark.plans.ensemble import Ensemble
 from airspark.plans.margin import MarginModel
 from airspark.plans.models import Fitted
 from airspark.plans.serving import recent_state
+from airspark.session import scratch_path
 
 TREE_INPUTS = ["pm2_5", "pm2_5_lag24", "pm2_5_rolling_mean_24h", "hour_raw", "is_weekend", "pm10"]
 # (feature, threshold, left, right) or a leaf (value, training weight).
@@ -142,6 +144,35 @@ query(_backtest_sql(LINEAR_SQL, "fixed_linear"), "backtest_fixed_linear")(_backt
 query(_backtest_sql(TREES_SQL, "fixed_trees"), "backtest_fixed_trees")(_backtest(fixed_trees))
 
 
+_NEWEST = ", ".join(f"max({p}) filter (r = 25) {p}" for p in ("ts", "pm2_5", "pm10", "o3", "no2"))
+
+
+@query(f"with recursive {RATED}, n as (select *, row_number() over (partition by station_id order by ts desc) r from rated where ts <= {NOW_SQL}), k as (select * from n where r <= 96),"
+       f" sz as (select station_id, count(*) c from k group by 1), st as (select station_id, {_NEWEST}, list(pm2_5 order by ts) filter (r > 24) hist, list(pm2_5 order by ts) filter (r <= 24) actual"
+       f" from k join sz using (station_id) where c >= 48 group by 1), {walk_sql(LINEAR_SQL, 24, 'station_id, actual')}, g as (select station_id, unnest(actual) a, unnest(ahead) p from done),"
+       f" sc as (select station_id, count(a - p) n, {_METRICS}, avg(abs((a - p) / case when a = 0 then 1 else a end)) * 100 mape from g group by 1)"
+       f" select station_id, case when c < 48 then 'not enough data' when n > 0 then 'scored' else 'no forecast' end status, coalesce(n, 0) n, case when n > 0 then mae end mae, case when n > 0 then rmse end rmse,"
+       f" case when n > 0 then r2 end r2, {q6('case when n > 0 then mape end')} mape, {q6('case when n > 0 then greatest(0, 100 - mape) end')} accuracy from sz left join sc using (station_id)")
+def live_fixed_linear(spark, sf_dir):
+    out = forecast.live_metrics(fx.actual(rated(spark, sf_dir)), fixed_linear())
+    return rounded(out, "mae", "rmse", "r2", "mape", "accuracy")
+
+
+@query(f"with {LABELLED_SQL}, g as (select target a, {LINEAR_SQL} p from s), m as (select {_METRICS} from g)"
+       " select unnest([1, 2])::int \"version\", 'fixed_linear' model, rmse, mae, r2, 12 features from m")
+def register_fixed(spark, sf_dir):
+    """Two versions in a registry, and the number of features of the model loaded from it."""
+    rows, model = labelled_table(spark, sf_dir), fixed_linear()
+    guessed = model.predict(rows).join(rows.select("station_id", "ts", "target"), ["station_id", "ts"])
+    scores = evaluate.regression_metrics(guessed.select(F.lit(model.name).alias("model"), F.col("target").alias("actual"), F.col("prediction").alias("predicted")), ["model"])
+    root = scratch_path(spark, "models")
+    for _ in range(2):
+        models.register(spark, root, model, scores.first().asDict())
+    loaded = models.load(spark, root, MarginModel)
+    same = loaded.model.coefficients == model.model.coefficients and loaded.names == model.names
+    return rounded(models.registry(spark, root), "rmse", "mae", "r2").withColumn("features", F.lit(len(loaded.names) if same else 0))
+
+
 # ---- Shapley values of the trees ------------------------------------------
 
 

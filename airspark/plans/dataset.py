@@ -108,5 +108,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: tuple[str, ...] = (S
     """
     total = df.count()
     share = min(1.0, (n + 10 * n**0.5 + 10) / max(total, 1))
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    # The first 13 hex digits are 52 bits.
+    hashed = df.withColumn("_h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"))
     return hashed.where(F.col("_h") <= F.lit(int(share * (1 << 52)))).orderBy("_h", *key).limit(n).drop("_h")

@@ -281,18 +281,25 @@ def backtest_t72(
 
 
 def live_metrics(df: DataFrame, fitted: Fitted, hold_out: int = HOLD_OUT, minimum: int = HOLD_OUT_MIN) -> DataFrame:
-    """Per station: forecast the last rows from those before them and score the result."""
+    """Per station: forecast the last rows from those before them and score the result.
+
+    Every station has a row; ``status`` tells those with fewer than ``minimum`` rows, and
+    those whose forecast lacks an input, which have no scores.
+    """
     keep = [c for c in (STATION, TS, *POLLUTANTS, "aqi_change_rate") if c in df.columns]
     newest = last_rows(df.select(*keep), KEEP + hold_out, rank="_r")
     rest = [c for c in keep if c != STATION]
     values = F.collect_list(F.when(F.col("_r") > hold_out, F.struct(TS, "pm2_5")))
-    states = newest.groupBy(STATION).agg(
+    stations = newest.groupBy(STATION).agg(
         F.array_sort(values)["pm2_5"].alias("hist"),
         F.max(F.when(F.col("_r") == hold_out + 1, F.struct(*rest))).alias("_c"),
         F.array_sort(F.collect_list(F.when(F.col("_r") <= hold_out, F.struct(TS, "pm2_5"))))["pm2_5"].alias("_actual"),
         F.count("*").alias("_rows"),
     )
-    states = states.where(F.col("_rows") >= minimum).select(STATION, F.col("_c.*"), "hist", "_actual")
+    states = stations.where(F.col("_rows") >= minimum).select(STATION, F.col("_c.*"), "hist", "_actual")
     ahead = recursive_forecast(states, fitted, hold_out)
     pairs = ahead.select(STATION, F.inline(F.arrays_zip(F.col("_actual").alias("actual"), F.col("forecast").alias("predicted"))))
-    return live_scores(pairs)
+    enough = F.when(F.col("_rows") < minimum, "not enough data")
+    told = stations.select(STATION, enough.alias("_short")).join(live_scores(pairs), STATION, "left")
+    status = F.coalesce("_short", F.when(F.col("n") > 0, "scored"), F.lit("no forecast"))
+    return told.withColumns({"status": status, "n": F.coalesce("n", F.lit(0))}).drop("_short")
