@@ -7,11 +7,11 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -113,17 +113,21 @@ def test_toxic_words_are_learned(spark, clashing, prose):
 
 
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
-
-
-def sim_hash(line):
-    hs = [xxhash.xxh64(w, seed=42).intdigest() for w in line.split(" ")]
-    return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
+    """Edit distance, a column of the table at a time as the bits of two numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    whole, last, where = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    up, down, score = whole, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        right = (((same & up) + up) ^ up) | same
+        more, less = down | (~(right | up) & whole), up & right
+        score += bool(more & last) - bool(less & last)
+        more, less = ((more << 1) | 1) & whole, (less << 1) & whole
+        up, down = less | (~(same | down | more) & whole), more & (same | down)
+    return score
 
 
 def brute_removals(rows):
@@ -135,7 +139,13 @@ def brute_removals(rows):
             if line.count(" ") >= 3:
                 first.setdefault(line, len(first))
                 places.setdefault(line, []).append((d, i))
-    lines, sims = list(first), [sim_hash(x) for x in first]
+    lines = list(first)
+    alphabet = {c: k for k, c in enumerate(sorted(set("".join(lines))))}
+    letters = np.zeros((len(lines), len(alphabet)), np.int64)
+    for i, line in enumerate(lines):
+        for c, n in Counter(line).items():
+            letters[i, alphabet[c]] = n
+    sizes = letters.sum(axis=1)
     up = list(range(len(lines)))
 
     def root(x):
@@ -144,12 +154,14 @@ def brute_removals(rows):
         return x
 
     for i in range(len(lines)):
-        for j in range(i):
-            if bin(sims[i] ^ sims[j]).count("1") <= 3:
-                n = max(len(lines[i]), len(lines[j]))
-                if edit(lines[i], lines[j]) <= math.floor(0.1 * n + 1e-9):
-                    p, q = root(i), root(j)
-                    up[max(p, q)] = min(p, q)
+        # An edit changes at most one letter on either side, so that few pairs need the distance.
+        gap = letters[:i] - letters[i]
+        apart = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+        most = np.floor(0.1 * np.maximum(sizes[:i], sizes[i]) + 1e-9).astype(int)
+        for j in np.flatnonzero(apart <= most).tolist():
+            if root(i) != root(j) and edit(lines[i], lines[j]) <= most[j]:
+                p, q = root(i), root(j)
+                up[max(p, q)] = min(p, q)
     groups, gone = {}, {}
     for i, line in enumerate(lines):
         groups.setdefault(root(i), []).extend(places[line])
