@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from airspark import fixtures as fx
 from airspark.catalog.learning import INPUTS, LABELLED_SQL, W, rated
 from airspark.catalog.registry import q6, query, rounded
-from airspark.catalog.sql import OBS, RECENT_SQL, WITH_AQI
+from airspark.catalog.sql import NOW_SQL, OBS, RECENT_SQL, WITH_AQI
 from airspark.catalog.summaries import union_all
 from airspark.catalog.values import _RATE as RATE_SQL
 from airspark.catalog.tables import BY, COLUMNS, daily_payloads
 from airspark.operators import univariate
 from airspark.operators.features import full_features
+from airspark.operators.quality import SEVERE_HOURS, STALE_HOURS
 from airspark.operators.series import last_rows
 from airspark.plans import dataset, evaluate, explain, forecast, models
 from airspark.plans.serving import recent_state
@@ -319,6 +320,42 @@ def stream_ingest(spark, sf_dir):
     return rounded(store.read(), "aqi_change_rate")
 
 
+#: Longer than any delay between the envelopes' send times and their delivery here.
+_DELAY = "60 days"
+
+
+def _delivered(spark, sf_dir):
+    """The files of a folder to which every envelope was delivered twice, in files of different batches."""
+    folder = scratch_path(spark, "payloads")
+    first, again = _envelopes(spark, sf_dir)
+    for part in (first, first, again, again):
+        part.repartition(2, "station_id").write.mode("append").json(folder)
+    return ingest.payload_stream(spark, folder, files_per_batch=2)
+
+
+@query(f"with {OBS}, d as (select distinct station_id, cast(ts as date) d from obs), e as (select station_id, cast(d as timestamp) + interval '1 day' sent_at from d"
+       " union all select station_id, cast(d as timestamp) + interval '2 days' from d where day(d) % 5 = 0) select station_id, sent_at, count(*) n from e group by 1, 2")
+def stream_repeats(spark, sf_dir):
+    """How many envelopes of a station and send time get past the removal of repeats."""
+    folder = scratch_path(spark, "distinct")
+    passed = ingest.distinct_envelopes(_delivered(spark, sf_dir), _DELAY).select("station_id", "sent_at")
+    job = passed.writeStream.format("parquet").option("path", folder).option("checkpointLocation", scratch_path(spark, "distinct-state"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("station_id int, sent_at timestamp_ntz").parquet(folder).groupBy("station_id", "sent_at").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_STREAMED}, w as (select *, cast(cast(ts as date) as timestamp) + case when day % 5 = 0 then interval '2 days' else interval '1 day' end ingested_at from s where ts <= {NOW_SQL}),"
+       " m as (select station_id, max(ts) measured_at, max_by(ingested_at, ts) ingested_at from w group by 1), h as (select *, "
+       f"date_diff('microsecond', ingested_at, {NOW_SQL}) / 3600e6 age from m) select station_id, measured_at, ingested_at, {q6('age')} age_hours, age > {STALE_HOURS} stale, age > {SEVERE_HOURS} severe from h")
+def stream_alerts(spark, sf_dir):
+    """The last age report of every station after envelopes were delivered twice."""
+    alerts = scratch_path(spark, "alerts")
+    store = FeatureStore(spark, scratch_path(spark, "stream-store")).init()
+    ingest.ingest_payloads(_delivered(spark, sf_dir), store, scratch_path(spark, "stream-state"), fx.NOW, alerts, _DELAY).awaitTermination()
+    out = ingest.latest_alerts(spark, alerts).select("station_id", "measured_at", "ingested_at", "age_hours", "stale", "severe")
+    return rounded(out, "age_hours")
+
+
 @query("select cast(floor(user_id / 16) as int) station_id, date_trunc('hour', ts) hour_start, " + q6("avg(value)") + " mean_value, count(*) n from events group by 1, 2")
 def stream_hourly(spark, sf_dir):
     events = fx.events(spark, sf_dir)

@@ -25,11 +25,31 @@ def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+def distinct_envelopes(stream: DataFrame, within: str) -> DataFrame:
+    """Each envelope once (station, send time and content), also when it is delivered again in a later batch.
+
+    The state holds a key until the watermark, ``within`` behind the newest send time, has
+    passed it. What arrives later than that is left out, so ``within`` must cover the
+    longest delay between sending and delivery.
+    """
+    # Watermarks need an instant; the session's zone is UTC.
+    marked = stream.withColumns({"_sent": F.col("sent_at").cast("timestamp"), "_content": F.xxhash64("payload")})
+    once = marked.withWatermark("_sent", within).dropDuplicatesWithinWatermark([STATION, "sent_at", "_content"])
+    return once.drop("_sent", "_content")
+
+
 def ingest_payloads(
-    stream: DataFrame, store: FeatureStore, checkpoint: str, now: str | None = None, alerts: str | None = None
+    stream: DataFrame,
+    store: FeatureStore,
+    checkpoint: str,
+    now: str | None = None,
+    alerts: str | None = None,
+    repeats_within: str | None = None,
 ) -> StreamingQuery:
     """Upsert every micro-batch into the store; run until the folder is worked off.
 
+    With ``repeats_within``, envelopes that were delivered before are left out first.
+
     A batch that is delivered again writes the same rows again. Of repeats within
     a batch the one sent last wins, also when it comes late. With ``alerts`` the
     age of each station in the batch is appended there.
@@ -59,14 +79,20 @@ def ingest_payloads(
             # One folder per batch: writing it twice leaves one copy.
             aged.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
 
+    source = distinct_envelopes(stream, repeats_within) if repeats_within else stream
     return (
-        stream.writeStream.foreachBatch(write)
+        source.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def latest_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """The last age report of every station from all batches so far."""
+    return keep_last(spark.read.parquet(folder).drop("batch"), ["batch_id"], [STATION])
+
+
 def hourly_means(stream: DataFrame, value: str = "value", ts: str = TS, late: str = "2 hours") -> DataFrame:
     """Mean per station and hour; state of closed hours is dropped after ``late``."""
     return (
