@@ -240,14 +240,11 @@ def pick_winner(spark, sf_dir):
 
 
 @query(f"with {METRICS_SQL}, c as (select *, greatest(0, least(100, r2 * 100)) * case when rmse > 50 then 0.8 when rmse > 30 then 0.9 else 1 end"
-       " * case when mae > 40 then 0.85 when mae > 25 then 0.95 else 1 end s from (select station_id, model, n, mae / 3 mae, rmse / 3 rmse, 1 - (1 - r2) / 9 r2 from g))"
+       " * case when mae > 40 then 0.85 when mae > 25 then 0.95 else 1 end s from g)"
        f" select station_id, model, n, {_SCORES}, (round(s, 1) + 0.0) confidence, case when s >= 85 then 'Very High' when s >= 70 then 'High'"
        " when s >= 55 then 'Moderate' when s >= 40 then 'Low' else 'Very Low' end \"level\" from c")
 def confidence(spark, sf_dir):
-    # Smaller errors than these simple predictions have, to reach every level.
-    c = F.col
-    better = scored(spark, sf_dir).withColumns({"mae": c("mae") / 3, "rmse": c("rmse") / 3, "r2": F.lit(1) - (F.lit(1) - c("r2")) / 9})
-    return rounded(evaluate.with_confidence(better), "mae", "rmse", "r2")
+    return rounded(evaluate.with_confidence(scored(spark, sf_dir)), "mae", "rmse", "r2")
 
 
 @query(f"with {METRICS_SQL}, c as (select *, greatest(0, 100 - rmse / 3.5) p from g), d as (select *, (round(case when p > 75 then p + (100 - p) * 0.5 else p end, 1) + 0.0) a from c)"

@@ -48,14 +48,14 @@ def parse_payload_strict(spark, sf_dir):
     return payload.parse_payload_strict(payload.payload_json(raw, BY))
 
 
-@query(f"with {OBS}, n as (select *, row_number() over (partition by station_id order by ts > {NOW_SQL}, abs(epoch_us(ts) - epoch_us({NOW_SQL}))) r from obs"
-       " where not (station_id % 2 = 1 and ts <= timestamp '2024-01-30 12:00:00'))"
-       f" select station_id, ts, {COLUMNS}, ts > {NOW_SQL} is_forecast from n where r = 1")
+# At this hour some stations have no row yet, so that the fallback is used as well.
+_EARLY = "timestamp '2024-01-01 01:00:00'"
+
+
+@query(f"with {OBS}, n as (select *, row_number() over (partition by station_id order by ts > {_EARLY}, abs(epoch_us(ts) - epoch_us({_EARLY}))) r from obs)"
+       f" select station_id, ts, {COLUMNS}, ts > {_EARLY} is_forecast from n where r = 1")
 def pick_current(spark, sf_dir):
-    obs = fx.observations(spark, sf_dir)
-    # Odd stations have only later rows, so that the fallback is used as well.
-    kept = obs.where(~((F.col("station_id") % 2 == 1) & (F.col("ts") <= instant(obs, fx.NOW))))
-    return payload.pick_current(kept, "2024-01-30 12:40:00")
+    return payload.pick_current(fx.observations(spark, sf_dir), "2024-01-01 01:40:00")
 
 
 @query(f"with {OBS}, n as (select *, row_number() over (partition by station_id order by ts > {NOW_SQL}, abs(epoch_us(ts) - epoch_us({NOW_SQL}))) r from obs)"
@@ -167,13 +167,10 @@ def tail_n(spark, sf_dir):
     return series.last_rows(fx.observations(spark, sf_dir), 168)
 
 
-@query(f"with {OBS}, n as (select *, ts <= timestamp '2024-01-03' is_actual, row_number() over (partition by station_id order by ts <= timestamp '2024-01-03' desc, ts desc) r from obs"
-       f" where station_id % 2 = 0 or ts > timestamp '2024-01-03') select station_id, ts, {COLUMNS}, is_actual from n where r = 1")
+@query(f"with {OBS}, n as (select *, ts <= {_EARLY} is_actual, row_number() over (partition by station_id order by ts <= {_EARLY} desc, ts desc) r from obs)"
+       f" select station_id, ts, {COLUMNS}, is_actual from n where r = 1")
 def latest_actual(spark, sf_dir):
-    obs = fx.observations(spark, sf_dir)
-    # Odd stations start later than ``now``.
-    kept = obs.where((F.col("station_id") % 2 == 0) | (F.col("ts") > instant(obs, "2024-01-03 00:00:00")))
-    return store.newest_actual(kept, "2024-01-03 00:00:00")
+    return store.newest_actual(fx.observations(spark, sf_dir), "2024-01-01 01:00:00")
 
 
 @query(f"with {OBS}, n as (select *, ts <= timestamp '2024-01-03' is_actual, row_number() over (partition by station_id order by ts <= timestamp '2024-01-03' desc, ts desc) r from obs)"
