@@ -260,6 +260,14 @@ def shapley_global(spark, sf_dir):
     return explain.importance(explain.tree_shapley(test, fitted, ["station_id", "ts"]))
 
 
+@query()
+def shapley_kernel(spark, sf_dir):
+    """The same by a regression on coalitions, for the linear model."""
+    train, test, names, scaler = split(labelled_table(spark, sf_dir))
+    fitted = models.fit("huber", models.robust_linear(), train, names, scaler)
+    return explain.kernel_shapley(last_rows(test, 1), train, fitted, ["station_id", "ts"])
+
+
 @query()
 def shapley_sampled(spark, sf_dir):
     """The same by sampled feature orders, which fit any model."""

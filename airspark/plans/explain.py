@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from airspark.operators.eda import correlations_with
+from airspark.operators.leastsquares import whole_gram, wide_gram
 from airspark.plans.dataset import sample_rows
 from airspark.plans.ensemble import as_ensemble
 from airspark.plans.models import VECTOR, Fitted
@@ -94,6 +95,77 @@ def shapley(
     )
 
 
+def kernel_shapley(
+    instances: DataFrame,
+    background: DataFrame,
+    fitted: Fitted,
+    key: list[str],
+    coalitions: int = 256,
+    starts: int = 10,
+    seed: int = 42,
+) -> DataFrame:
+    """Shapley values of any model by a weighted regression on sampled coalitions.
+
+    A coalition takes some features from the instance and the rest from ``starts``
+    background rows, whose predictions are averaged. Sizes are drawn by the Shapley kernel,
+    so all coalitions weigh the same in the regression; each comes with its complement.
+    The impacts are made to add up to the prediction minus the mean of the background. A
+    linear model gets its exact values. ``coalitions`` should be several times the number
+    of features. Predictions of a coalition and sums of products are grouped aggregates;
+    an instance is a few hundred rows, whatever the size of the data.
+    """
+    names = fitted.names
+    size = len(names)
+    if size < 2:
+        raise ValueError("a coalition needs two features at least")
+    weights = np.array([1.0 / (k * (size - k)) for k in range(1, size)])
+    below = F.array(*[F.lit(float(c)) for c in np.cumsum(weights / weights.sum())[:-1]])
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), *key, "_pair"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    index = F.sequence(F.lit(0), F.lit(size - 1))
+    order = F.array_sort(F.transform(index, lambda i: F.struct(F.xxhash64(F.lit(seed + 1), *key, "_pair", i).alias("h"), i.alias("i"))))["i"]
+    drawn = (
+        instances.select(*key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(coalitions // 2 - 1))).alias("_pair"))
+        .withColumn("_size", F.size(F.filter(below, lambda c: c < uniform)) + 1)
+        .withColumn("_in", F.slice(order, F.lit(1), F.col("_size")))
+        .withColumn("_z", F.transform(index, lambda i: F.array_contains("_in", i).cast("double")))
+    )
+    # The empty and the full coalition give the base and the prediction.
+    none, all_ = (F.array_repeat(F.lit(v), size) for v in (0.0, 1.0))
+    other = F.transform("_z", lambda z: 1.0 - z)
+    kinds = F.when(F.col("_pair") == 0, F.array(F.col("_z"), other, none, all_)).otherwise(F.array(F.col("_z"), other))
+    asked = drawn.select(*key, "_x", "_pair", F.posexplode(kinds).alias("_kind", "_z"))
+    # The background is a sample of ``starts`` rows by construction; they stand in the plan.
+    rows = sample_rows(background.select(STATION, TS, *names), starts, seed).select(*[F.col(n).cast("double") for n in names]).collect()
+    table = F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows])
+    mixed = asked.withColumn("_b", F.explode(table)).withColumn(
+        VECTOR, array_to_vector(F.zip_with("_z", F.zip_with("_x", "_b", lambda x, b: F.struct(x.alias("x"), b.alias("b"))), lambda z, v: F.when(z > 0, v["x"]).otherwise(v["b"])))
+    )
+    values = fitted.model.transform(mixed).groupBy(*key, "_pair", "_kind").agg(F.first("_z").alias("_z"), F.first("_x").alias("_x"), F.avg("prediction").alias("_v"))
+    ends = values.where(F.col("_kind") >= 2).groupBy(*key).agg(
+        F.max(F.when(F.col("_kind") == 2, F.col("_v"))).alias("_base"), F.max(F.when(F.col("_kind") == 3, F.col("_v"))).alias("_full"), F.first("_x").alias("_x")
+    )
+    # The last feature's impact follows from the sum, so it is taken out of the regression.
+    last = F.get("_z", F.lit(size - 1))
+    free = F.transform(F.slice("_z", 1, size - 1), lambda z: z - last)
+    told = values.where(F.col("_kind") < 2).select(*key, "_z", "_v").join(ends.select(*key, "_base", "_full"), key)
+    sums = wide_gram(told, key, F.col("_v") - F.col("_base") - last * (F.col("_full") - F.col("_base")), free)
+    schema = T.StructType([f for f in sums.schema if f.name in key] + [T.StructField("_free", T.ArrayType(T.DoubleType()))])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[key].copy()
+            grams = [whole_gram(np.asarray(a)) for a in batch["all"]]
+            out["_free"] = [(np.linalg.pinv(g[:-1, :-1], rcond=1e-12, hermitian=True) @ g[:-1, -1]).tolist() for g in grams]
+            yield out
+
+    found = sums.mapInPandas(solve, schema).join(ends, key)
+    rest = F.col("_full") - F.col("_base") - F.aggregate("_free", F.lit(0.0), lambda a, v: a + v)
+    items = F.arrays_zip(
+        F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("_x").alias("value"), F.concat("_free", F.array(rest)).alias("impact")
+    )
+    return found.select(*key, F.inline(items))
+
+
 def tree_shapley(instances: DataFrame, fitted: Fitted, key: list[str]) -> DataFrame:
     """Exact Shapley values of a tree ensemble, by the training weights along its paths.
 
