@@ -16,7 +16,7 @@ from airspark.operators import univariate
 from airspark.operators.features import full_features
 from airspark.operators.quality import SEVERE_HOURS, STALE_HOURS
 from airspark.operators.series import last_rows
-from airspark.plans import dataset, evaluate, explain, forecast, models
+from airspark.plans import dataset, evaluate, explain, forecast, models, training
 from airspark.plans.serving import recent_state
 from airspark.schema import POLLUTANTS
 from airspark.session import scratch_path, written
@@ -140,6 +140,16 @@ def forecast_harmonic(spark, sf_dir):
     return evaluate.regression_metrics(guessed.withColumnRenamed("pm2_5", "actual"), ["station_id"])
 
 
+@query()
+def training_comparison(spark, sf_dir):
+    """Scores of all models with plain settings, all of them eligible, and which one was stored."""
+    root = scratch_path(spark, "models")
+    chosen = {"gbt": models.gbt(maxIter=10, maxDepth=3), "forest": models.forest(numTrees=10, maxDepth=5), "robust_linear": models.robust_linear()}
+    table, _ = training.train_and_compare(rated(spark, sf_dir), root, chosen, all_eligible=True)
+    stored = models.registry(spark, root).select(F.col("model"), F.lit(True).alias("stored"))
+    return table.join(stored, "model", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 # ---- use of a model -------------------------------------------------------
 
 def linear_model(rows):
