@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that drops the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings every plan relies on: UTC days and hours, AQE on."""
@@ -48,8 +51,16 @@ def discard(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table on shared storage: computed once, pruned by column on every read.
 
-    For results that several later passes read. Lost executors only repeat reads.
+    For results that several later passes read. Lost executors only repeat reads, so
+    the shuffle files behind the table go as soon as it is complete.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # A plan of its own, so that no later action on ``df`` misses its files.
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
