@@ -306,6 +306,10 @@ def _drift_sql(columns, thresholds="0.2::double") -> str:
     )
 
 
+def _flagged(df):
+    return drift.flagged(df, fx.is_baseline(df))
+
+
 DRIFT_NUMBERS = ["base_mean", "base_std", "base_median", "base_p05", "base_p95", "current_mean", "current_std", "current_median",
                  "outside_share", "mean_diff", "mean_diff_absolute", "median_diff", "std_diff"]
 
@@ -313,15 +317,13 @@ DRIFT_NUMBERS = ["base_mean", "base_std", "base_median", "base_p05", "base_p95",
 @query(_drift_sql(["pm2_5"]) + "select station_id, feature, threshold, drift, " + ", ".join(
     f"{q6(e)} {n}" for n, e in zip(DRIFT_NUMBERS, ["bm", "bs", "bd", "p05", "p95", "cm", "cs", "cd", "share", "d1", "d2", "d3", "d4"])) + " from v")
 def drift_metrics(spark, sf_dir):
-    baseline, current = fx.split_recent(fx.observations(spark, sf_dir))
-    return rounded(drift.drift_metrics(baseline, current, ["pm2_5"]), *DRIFT_NUMBERS)
+    return rounded(drift.metrics(_flagged(fx.observations(spark, sf_dir)), ["pm2_5"]), *DRIFT_NUMBERS)
 
 
 @query(_drift_sql(drift.MONITORED, "case when feature = 'aqi' then 0.15::double else 0.2::double end")
        + f"select station_id, feature, threshold, drift, {q6('d1')} mean_diff, {q6('d3')} median_diff, {q6('d4')} std_diff, {q6('share')} outside_share from v")
 def drift_status(spark, sf_dir):
-    baseline, current = fx.split_recent(fx.with_aqi(spark, sf_dir))
-    return rounded(drift.drift_status(baseline, current), "mean_diff", "median_diff", "std_diff", "outside_share")
+    return rounded(drift.status(_flagged(fx.with_aqi(spark, sf_dir))), "mean_diff", "median_diff", "std_diff", "outside_share")
 
 
 @query(_drift_sql(P) + ", w as (select *, case when bm <> 0 then (cm - bm) / bm * 100 when cm > 0 then 100.0 else 0.0 end pct from v where drift)"
@@ -329,8 +331,7 @@ def drift_status(spark, sf_dir):
        f" case when pct > 0 then 'Spike detected' else 'Drop detected' end description, {q6('bm')} base_mean, {q6('cm')} current_mean,"
        f" {q6('share * 100')} outside_pct, share * 100 > 20 alert from w")
 def drift_causes(spark, sf_dir):
-    baseline, current = fx.split_recent(fx.observations(spark, sf_dir))
-    return rounded(drift.drift_causes(baseline, current, P), "shift_pct", "base_mean", "current_mean", "outside_pct")
+    return rounded(drift.causes(_flagged(fx.observations(spark, sf_dir)), P), "shift_pct", "base_mean", "current_mean", "outside_pct")
 
 
 @query(f"with {OBS}, l as (" + union_all(f"select station_id, '{c}' feature, ts < {RECENT_SQL} base, {c} v from obs where {c} is not null" for c in P)
@@ -339,5 +340,4 @@ def drift_causes(spark, sf_dir):
        " (partition by station_id, feature order by v), t as (partition by station_id, feature))"
        f" select station_id, feature, {q6('max(abs(cb / nullif(tb, 0)::double - cc / nullif(tc, 0)::double))')} ks, cast(max(tb) as bigint) n_base, cast(max(tc) as bigint) n_current from k group by 1, 2")
 def drift_ks(spark, sf_dir):
-    baseline, current = fx.split_recent(fx.observations(spark, sf_dir))
-    return rounded(drift.drift_ks(baseline, current, P), "ks")
+    return rounded(drift.ks(_flagged(fx.observations(spark, sf_dir)), P), "ks")

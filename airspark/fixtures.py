@@ -7,7 +7,7 @@ the table. Sums are exact decimals: the result does not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airspark.functions.aqi import aqi
 from airspark.functions.timefn import instant
@@ -61,3 +61,7 @@ def split_recent(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Baseline rows and the rows of the last week."""
     cut = instant(df, RECENT_FROM)
     return df.where(F.col(TS) < cut), df.where(F.col(TS) >= cut)
+
+
+def is_baseline(df: DataFrame) -> Column:
+    return F.col(TS) < instant(df, RECENT_FROM)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airspark.functions.numbers import ratio
-from airspark.operators.quantiles import long_values, quantiles, value_bucket
-from airspark.operators.series import running_totals
+from airspark.operators.quantiles import long_values, quantiles
+from airspark.operators.steps import counted_bins, steps
 from airspark.schema import STATION
 
 EPSILON = 1e-6
@@ -18,6 +18,11 @@ ALERT_PCT = 20
 _BASE = "_base"
 
 
+def flagged(df: DataFrame, is_baseline: Column) -> DataFrame:
+    """One frame that holds both samples; rows where the condition is null belong to neither."""
+    return df.withColumn(_BASE, is_baseline).where(F.col(_BASE).isNotNull())
+
+
 def _both(baseline: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     keep = [STATION, *columns]
     return (
@@ -34,15 +39,22 @@ def _moments(both: DataFrame, columns: list[str]) -> DataFrame:
     return wide.unpivot([STATION, _BASE], columns, "feature", "_s").select(STATION, _BASE, "feature", "_s.*")
 
 
+def _counts() -> dict[str, Column]:
+    return {"n_base": F.col(_BASE), "n_current": ~F.col(_BASE)}
+
+
 def drift_metrics(
     baseline: DataFrame, current: DataFrame, columns: list[str], thresholds: dict[str, float] | None = None
 ) -> DataFrame:
+    return metrics(_both(baseline, current, columns), columns, thresholds)
+
+
+def metrics(both: DataFrame, columns: list[str], thresholds: dict[str, float] | None = None) -> DataFrame:
     """Moments and quantiles of both samples, their relative differences, and a verdict.
 
-    Stations that lack one of the samples give no row.
+    ``both`` is a ``flagged`` frame. Stations that lack one of the samples give no row.
     """
     by = [STATION, "feature"]
-    both = _both(baseline, current, columns)
     spread = quantiles(both, columns, {"p05": 0.05, "median": 0.5, "p95": 0.95}, [STATION, _BASE])
     stats = _moments(both, columns).join(spread, [STATION, _BASE, "feature"])
     pair = stats.groupBy(*by).agg(
@@ -52,7 +64,7 @@ def drift_metrics(
     # The grouping keys carry the statistics along: one pass over the current values.
     below_or_above = (F.col("value") < F.col("base_p05")) | (F.col("value") > F.col("base_p95"))
     out = (
-        long_values(current, columns, [STATION])
+        long_values(both.where(~F.col(_BASE)), columns, [STATION])
         .join(pair.where(F.col("base_mean").isNotNull()), by)
         .groupBy(*pair.columns)
         .agg((F.count_if(below_or_above) / F.count("*")).alias("outside_share"))
@@ -80,17 +92,26 @@ def drift_metrics(
 
 
 def drift_status(baseline: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    out = drift_metrics(baseline, current, columns or MONITORED)
+    columns = columns or MONITORED
+    return status(_both(baseline, current, columns), columns)
+
+
+def status(both: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    out = metrics(both, columns or MONITORED)
     return out.select(STATION, "feature", "threshold", "drift", "mean_diff", "median_diff", "std_diff", "outside_share")
 
 
 def drift_causes(baseline: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    return causes(_both(baseline, current, columns), columns)
+
+
+def causes(both: DataFrame, columns: list[str]) -> DataFrame:
     """Size and direction of the shift of each drifted column."""
     base, now = F.col("base_mean"), F.col("current_mean")
     shift = F.when(base != 0, ratio(now - base, base) * 100).otherwise(F.when(now > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
     outside = F.col("outside_share") * 100
     return (
-        drift_metrics(baseline, current, columns, thresholds={})
+        metrics(both, columns, thresholds={})
         .where("drift")
         .select(
             STATION,
@@ -107,19 +128,27 @@ def drift_causes(baseline: DataFrame, current: DataFrame, columns: list[str]) ->
 
 
 def drift_ks(baseline: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per station and column."""
-    both = _both(baseline, current, columns)
+    return ks(_both(baseline, current, columns), columns)
+
+
+def ks(both: DataFrame, columns: list[str]) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance per station and column.
+
+    Within a bin the shares of both samples only grow, so the bin bounds its largest gap.
+    Only bins that may exceed the best gap at a bin's end are looked at value by value.
+    """
     by = [STATION, "feature"]
-    counts = (
-        long_values(both, columns, [STATION, _BASE])
-        .groupBy(*by, "value")
-        .agg(F.count_if(F.col(_BASE)).alias("n_base"), F.count_if(~F.col(_BASE)).alias("n_current"))
-    )
-    sums = {"at_base": F.col("n_base"), "at_current": F.col("n_current")}
-    steps = running_totals(counts, sums, value_bucket(F.col("value")), by, ["value"])
-    gap = F.abs(
-        ratio(F.col("at_base"), F.col("at_base_total")) - ratio(F.col("at_current"), F.col("at_current_total"))
-    )
-    return steps.groupBy(*by).agg(
-        F.max(gap).alias("ks"), F.max("at_base_total").alias("n_base"), F.max("at_current_total").alias("n_current")
+    long = long_values(both, columns, [STATION, _BASE])
+
+    def share(name: str, upto: bool) -> Column:
+        held = F.col(f"before_{name}") + F.col(name) if upto else F.col(f"before_{name}")
+        return ratio(held, F.col(f"total_{name}"))
+
+    at_end = F.abs(share("n_base", True) - share("n_current", True))
+    at_most = F.greatest(share("n_base", True) - share("n_current", False), share("n_current", True) - share("n_base", False))
+    best = F.max(at_end).over(Window.partitionBy(*by))
+    bins = counted_bins(long, by, _counts())
+    exact = steps(long, bins, by, _counts(), lambda parts: parts.withColumn("near", F.coalesce(at_most > best, F.lit(False))))
+    return exact.groupBy(*by).agg(
+        F.max(at_end).alias("ks"), F.max("total_n_base").alias("n_base"), F.max("total_n_current").alias("n_current")
     )

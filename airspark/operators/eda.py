@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airspark.functions import labels
 from airspark.functions.numbers import ratio
 from airspark.functions.timefn import clock_label, month_label
+from airspark.operators.comoments import comoments
 from airspark.operators.quality import missing_overall
 from airspark.operators.quantiles import equal_width_bin, long_values, quantiles, value_edges
 from airspark.operators.series import day_bucket, running_totals
@@ -123,42 +124,25 @@ def histogram_overlay(baseline: DataFrame, current: DataFrame, columns: list[str
     return binned.withColumn("probability", F.col("count") / whole)
 
 
-def _pearson(y: str, x: str) -> list[Column]:
-    """Aggregates for ``_r``. Equal extremes tell a constant: its sums of squares are not always exactly zero."""
-    both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    spread = [F.min(F.when(both, F.col(c))) < F.max(F.when(both, F.col(c))) for c in (y, x)]
-    r = ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-    return [F.when(spread[0] & spread[1], r).alias("r")]
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, over the rows where both are present.
 
     One row per station and ordered pair. A constant column gives NULL.
     """
-    pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    wide = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
-            )
-            for a, b in pairs
-        ]
-    )
-    return df.select(STATION, F.inline(wide)).groupBy(STATION, "a", "b").agg(*_pearson("y", "x"))
+    return comoments(df, [(c, c) for c in columns] + list(combinations(columns, 2)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     upper = correlations(df, columns)
-    mirrored = upper.where(F.col("a") != F.col("b")).select(STATION, F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return upper.unionByName(mirrored)
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    # A pair of a column with itself has no mirror image.
+    sides = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
+    return upper.select(STATION, "r", F.inline(sides)).select(STATION, "a", "b", "r")
 
 
 def correlations_with(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Correlation of each column with the target, both present."""
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
-    rows = df.select(STATION, F.col(target).cast("double").alias("y"), F.inline(items))
-    return rows.groupBy(STATION, "feature").agg(*_pearson("y", "x"))
+    return comoments(df, [(c, target) for c in columns]).select(STATION, F.col("a").alias("feature"), "r")
 
 
 def corr_ranked(df: DataFrame, target: str, columns: list[str]) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airspark.operators.series import bucket_offsets
+from airspark.operators.steps import counted_bins, holds_any, quantile_values, steps, value_bucket
 from airspark.schema import STATION
 
-BINS_PER_UNIT = 4096
+__all__ = ["equal_width_bin", "long_values", "quantiles", "split_quantiles", "value_bucket", "value_edges"]
 
 
 def long_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -22,14 +23,6 @@ def long_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
     return long.unpivot(keys, columns, "feature", "value").where(F.col("value").isNotNull())
 
 
-def value_bucket(value: Column) -> Column:
-    """Bucket of a value, non-decreasing in it; a fixed share of the value wide.
-
-    It needs no statistics of the data, and extreme values do not widen it.
-    """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(BINS_PER_UNIT)))
-
-
 def value_edges(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Smallest and largest value of each column, one row per key and column."""
     edges = df.groupBy(*keys).agg(
@@ -77,3 +70,19 @@ def quantiles(
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (exact - F.floor(exact))).alias(name))
     return picked.select(*by, "n", *out)
+
+
+def split_quantiles(
+    df: DataFrame, columns: list[str], probabilities: dict[str, float], keys: list[str] | None = None
+) -> DataFrame:
+    """``quantiles`` for columns that may be nearly constant: crowded bins are split before their values are sorted.
+
+    Jobs run when it is called (bins are counted and written); ``quantiles`` runs none.
+    """
+    keys = keys or [STATION]
+    by, counts = [*keys, "feature"], {"n": F.lit(True)}
+    long = long_values(df, columns, keys)
+    near = holds_any(list(probabilities.values()))
+    exact = steps(long, counted_bins(long, by, counts), by, counts, lambda parts: parts.withColumn("near", near))
+    found = quantile_values(exact, by, {name: (p, "n") for name, p in probabilities.items()})
+    return found.withColumnRenamed("total_n", "n")
