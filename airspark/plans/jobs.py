@@ -1,4 +1,4 @@
-"""Ingest and backfill as single lazy plans; writing is the caller's only action."""
+"""Ingest and backfill. A backfill is one lazy plan; the hourly ingest writes its current rows first."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from airspark.operators.changerate import change_rate_asof, change_rate_eps, cha
 from airspark.operators.features import time_parts
 from airspark.operators.quality import align_schema
 from airspark.schema import FEATURE_TABLE, STATION, TS
+from airspark.session import written
 from airspark.sources.payload import parse_payload, pick_current
 from airspark.sources.store import FeatureStore, time_range
 
@@ -22,7 +23,8 @@ def hourly_ingest(payloads: DataFrame, history: DataFrame | FeatureStore, now) -
     ``history`` is a store or holds stored rows with ``aqi``. The change rate looks back
     two hours; the earliest and latest current row bound what is read of it.
     """
-    rows = pick_current(parse_payload(payloads), now).drop("is_forecast")
+    # One row per station, written: the payloads are parsed once for the span, the history and the result.
+    rows = written(pick_current(parse_payload(payloads), now).drop("is_forecast"), "current")
     current = time_parts(rows).withColumns({"aqi": aqi(), "ingestion_timestamp": instant(rows, now)})
     span = rows.agg(F.min(TS).alias("first"), F.max(TS).alias("last")).first()  # two scalars
     if span["first"] is not None:

@@ -20,10 +20,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and tasks share one process; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def _shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a local one when none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not one_machine(spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = os.environ.get("AIRSPARK_TEST_DIR") or tempfile.mkdtemp(prefix="airspark-")
