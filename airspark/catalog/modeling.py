@@ -326,15 +326,14 @@ _STREAMED = f"{_RESENT_AQI}{_FIRST_AQI}{_rated_sql('a0', 'r0')}{_rated_sql('a',
 @query(f"with {_STREAMED} select station_id, ts, {COLUMNS}, hour, day, month, aqi, rate aqi_change_rate, cast(cast(ts as date) as timestamp) + case when day % 5 = 0 then interval '2 days'"
        " else interval '1 day' end ingestion_timestamp from s")
 def stream_ingest(spark, sf_dir):
-    folder = scratch_path(spark, "payloads")
-    first, again = _envelopes(spark, sf_dir)
-    first.repartition(3, "station_id").write.json(folder)  # a station's days arrive together
-    # Files that come later are read later: what they repeat is replaced.
-    again.repartition(1).write.mode("append").json(folder)
+    folder, state, alerts = (scratch_path(spark, label) for label in ("payloads", "stream-state", "alerts"))
     store = FeatureStore(spark, scratch_path(spark, "stream-store")).init()
-    stream = ingest.payload_stream(spark, folder, files_per_batch=2)
-    job = ingest.ingest_payloads(stream, store, scratch_path(spark, "stream-state"), fx.NOW, scratch_path(spark, "alerts"))
-    job.awaitTermination()
+    # What is sent again arrives once the first files are worked off, so that no batch holds
+    # both states, however many files there are. What it repeats is replaced.
+    for sent in _envelopes(spark, sf_dir):
+        sent.repartition(3, "station_id").write.mode("append").json(folder)  # a station's days arrive together
+        stream = ingest.payload_stream(spark, folder, files_per_batch=2)
+        ingest.ingest_payloads(stream, store, state, fx.NOW, alerts).awaitTermination()
     return rounded(store.read(), "aqi_change_rate")
 
 
