@@ -37,6 +37,12 @@ def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Colu
     return F.least(F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+def interpolated(lo: Column, hi: Column, part: Column) -> Column:
+    """The value ``part`` of the way from ``lo`` to ``hi``, weighed: their difference would be rounded
+    before it is scaled, and a value that is the quantile itself could fall outside by the last bit."""
+    return F.when(lo < hi, lo * (1 - part) + hi * part).otherwise(lo)
+
+
 def quantiles(
     df: DataFrame, columns: list[str], probabilities: dict[str, float], keys: list[str] | None = None
 ) -> DataFrame:
@@ -68,7 +74,7 @@ def quantiles(
     for name, p in probabilities.items():
         exact = F.lit(p) * (F.col("n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (exact - F.floor(exact))).alias(name))
+        out.append(interpolated(lo, hi, exact - F.floor(exact)).alias(name))
     return picked.select(*by, "n", *out)
 
 
