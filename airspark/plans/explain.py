@@ -16,6 +16,7 @@ from airspark.plans.dataset import sample_rows
 from airspark.plans.ensemble import as_ensemble
 from airspark.plans.models import VECTOR, Fitted
 from airspark.schema import STATION, TS
+from airspark.session import written
 
 # Names shown for the features, in model order.
 DISPLAY_NAMES = {
@@ -32,6 +33,8 @@ DISPLAY_NAMES = {
 UP, DOWN = "Pushing Up", "Pulling Down"
 TINY, FALLBACK_SCALE = 0.001, 10.0
 TOP = 10
+#: Instances of one task; each of them becomes hundreds or thousands of rows there.
+INSTANCES = 64
 
 
 def _vector(names: list[str]) -> Column:
@@ -53,6 +56,18 @@ def linear_attribution(df: DataFrame, weights: dict[str, float], means: dict[str
     return df.select(*key, F.inline(items))
 
 
+def _dealt(instances: DataFrame, key: list[str]) -> DataFrame:
+    """Instances dealt to tasks by their number.
+
+    Each of them becomes many rows, but they are so few bytes themselves that their shuffle
+    would be merged into one task. Dealt by key, what is made of an instance is grouped where it is.
+    """
+    kept = written(instances, "instances")
+    n = kept.count()
+    parts = max(-(-n // INSTANCES), min(n, instances.sparkSession.sparkContext.defaultParallelism), 1)
+    return kept.repartition(parts, *key)
+
+
 def shapley(
     instances: DataFrame, background: DataFrame, fitted: Fitted, key: list[str], permutations: int = 20, seed: int = 42
 ) -> DataFrame:
@@ -67,7 +82,7 @@ def shapley(
     starts = sample_rows(background.select(STATION, TS, *names), permutations, seed).select(
         (F.row_number().over(Window.orderBy(STATION, TS)) - 1).alias("_m"), _vector(names).alias("_z")
     )
-    runs = instances.select(*key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_m"))
+    runs = _dealt(instances.select(*key, *names), key).select(*key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_m"))
     index = F.sequence(F.lit(0), F.lit(len(names) - 1))
     order = F.array_sort(F.transform(index, lambda i: F.struct(F.xxhash64(F.lit(seed), "_m", *key, i).alias("h"), i.alias("i"))))["i"]
     steps = (
@@ -124,7 +139,7 @@ def kernel_shapley(
     index = F.sequence(F.lit(0), F.lit(size - 1))
     order = F.array_sort(F.transform(index, lambda i: F.struct(F.xxhash64(F.lit(seed + 1), *key, "_pair", i).alias("h"), i.alias("i"))))["i"]
     drawn = (
-        instances.select(*key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(coalitions // 2 - 1))).alias("_pair"))
+        _dealt(instances.select(*key, *names), key).select(*key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(coalitions // 2 - 1))).alias("_pair"))
         .withColumn("_size", F.size(F.filter(below, lambda c: c < uniform)) + 1)
         .withColumn("_in", F.slice(order, F.lit(1), F.col("_size")))
         .withColumn("_z", F.transform(index, lambda i: F.array_contains("_in", i).cast("double")))
@@ -223,7 +238,7 @@ def lime(
     names = fitted.names
     width = 0.75 * np.sqrt(len(names))
     index = F.sequence(F.lit(0), F.lit(len(names) - 1))
-    drawn = instances.select(
+    drawn = _dealt(instances.select(*key, *names), key).select(
         *key, _vector(names).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s")
     )
     # The first point is the instance itself.

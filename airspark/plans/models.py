@@ -52,8 +52,11 @@ RF_GRID = {
 }
 #: The setting that says how many trees an ensemble has.
 SIZES = ["maxIter", "numTrees"]
-#: Rows of a partition of training rows. Ensembles make a small job per level of every tree.
+#: Least rows of a partition of training rows. Ensembles make a small job per level of every tree.
 FIT_ROWS = 50_000
+#: Partitions of training rows for each core. Every task of every pass of a fit reports to the
+#: driver, so their number may not grow with the rows; partitions that outgrow memory go to disk.
+FIT_WAVES = 2
 HUBER_GRID = {"regParam": [0.0, 0.01, 0.1, 1.0], "epsilon": [1.05, 1.2, 1.35, 2.0]}
 # Weights of the loss and widths of the margin.
 LINEAR_GRID = {"C": [0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0], "epsilon": [0.0, 0.05, 0.1, 0.2, 0.5]}
@@ -98,9 +101,9 @@ class Fitted:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Rows kept in memory and on disk, few partitions where there are few rows."""
+    """Rows kept in memory and on disk, few partitions where there are few rows, and never more than the cores need."""
     kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = max(1, -(-kept.count() // FIT_ROWS))
+    parts = max(1, min(-(-kept.count() // FIT_ROWS), FIT_WAVES * rows.sparkSession.sparkContext.defaultParallelism))
     if parts >= kept.rdd.getNumPartitions():
         return kept
     few = rows.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
