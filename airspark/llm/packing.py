@@ -16,10 +16,12 @@ other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from airspark.llm.common import arrow_schema, text_slices
@@ -35,11 +37,41 @@ RANK_ROWS = 50_000
 MARK = "\x01"
 #: Words whose ids a task remembers.
 CACHED_WORDS = 400_000
+#: Bytes of text whose words a task looks up at once.
+TOKEN_BYTES = 1 << 23
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECE_ARROW = arrow_schema(doc_id=pa.int64(), start=pa.int64(), length=pa.int64(), ids_crc32=pa.int64(), doc_tokens=pa.int64())
 
 
+#: The rules under which ``detached`` changes no id: how text is normalised, and the pattern it is cut at.
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A letter or digit, then ASCII punctuation that ends a word.
+_TAIL = r"([0-9a-zß-öø-ÿ])([!-/:-@\[-`{-~]+)(\s|$)"
+
+
+def cuts_punctuation(rules: dict) -> bool:
+    """Whether a tokenizer lowers letters and encodes letters and punctuation apart."""
+    first, *rest = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    after = [{k: x.get(k) for k in ("type", "add_prefix_space", "use_regex")} for x in rest]
+    plain = after == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}] and not rules["post_processor"]
+    return plain and first == split and (rules["normalizer"] or {}).get("normalizers") == _LOWERED and not any(t["normalized"] for t in rules["added_tokens"])
+
+
+def detached(texts: pa.Array, added: list[str]) -> pa.Array:
+    """Texts with A-Z in lower case and a space before punctuation that ends a word, so that they share more words.
+
+    Texts that hold an added token in any case stay as they are.
+    """
+    low = pc.ascii_lower(texts)
+    kept = pa.array(np.zeros(len(texts), bool))
+    for token in added:
+        kept = pc.or_(kept, pc.match_substring(low, token, ignore_case=True))
+    return pc.if_else(kept, texts, pc.replace_substring_regex(low, _TAIL, r"\1 \2\3"))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize whole texts; one row per piece with the checksum of its ids.
 
@@ -57,6 +89,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
         encoder = Tokenizer.from_file(tokenizer)
         mark = encoder.encode(MARK, add_special_tokens=False).ids
+        rules = json.loads(encoder.to_str())
+        apart, added = cuts_punctuation(rules), [t["content"] for t in rules["added_tokens"]]
 
         def encode(words: list[str], known: dict[str, bytes]) -> None:
             """Many words in one call, told apart by the id of a mark that none of them holds."""
@@ -75,25 +109,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             for w, code in zip(odd, encoder.encode_batch_fast(odd, add_special_tokens=False)):
                 known[w] = np.array(code.ids, "<u4").tobytes()
 
-        known: dict[str, bytes] = {"": b""}
-        end = np.array([end_id], "<u4").tobytes()
+        known: dict[str, bytes] = {}
         for batch in batches:
-            for part in text_slices(batch):
-                texts = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                fresh = list(dict.fromkeys(w for words in texts for w in words if w not in known))
-                encode(fresh, known)
-                rows = []
-                for doc, words in zip(part.column("doc_id").to_pylist(), texts):
-                    ids = memoryview(b"".join(map(known.__getitem__, words)) + end)
-                    n = len(ids) // 4
-                    for at in range(0, n, capacity):
-                        to = min(n, at + capacity)
-                        rows.append((doc, at, to - at, crc32(ids[4 * at : 4 * to]), n))
+            for part in text_slices(batch, limit=TOKEN_BYTES):
+                # A new array: Arrow's ``ascii_lower`` is wrong on slices.
+                texts = pc.replace_substring(pc.fill_null(part.column("text").cast(pa.large_string()), ""), "\n", " ")
+                words = pc.split_pattern(detached(texts, added) if apart else texts, " ")
+                coded = words.flatten().dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                encode([w for w in names if w not in known], known)
+                codes = [known[w] for w in names] + [np.array([end_id], "<u4").tobytes()]
+                data = np.frombuffer(b"".join(codes), "<u4")
+                sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+                # The words of all texts, each text with the end id behind it.
+                last = np.cumsum(np.asarray(pc.list_value_length(words), dtype=np.int64))
+                at = np.insert(np.asarray(coded.indices, dtype=np.int64), last, len(names))
+                size, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
+                ends = np.cumsum(size)
+                ids = memoryview(data[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]).cast("B")
+                to = ends[last + np.arange(len(last))]
+                n = np.diff(to, prepend=0)
+                pieces = -(-n // capacity)
+                text = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text]) * capacity
+                length = np.minimum(capacity, n[text] - start)
+                first = 4 * (to[text] - n[text] + start)
+                crcs = [crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
                 if len(known) > remembered:
-                    known = {"": b""}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW
-                )
+                    known = {}
+                columns = [part.column("doc_id").take(pa.array(text)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[text])]
+                yield pa.RecordBatch.from_arrays(columns, schema=_PIECE_ARROW)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
