@@ -29,7 +29,7 @@ from airspark.session import written
 PIVOTS = 64
 #: Rows of a block of candidates, and of queries.
 BLOCK_ROWS = 4096
-LEAF_ROWS = 48
+LEAF_ROWS = 192
 
 
 class Node:
@@ -90,22 +90,21 @@ class Search:
 
     def leaf(self, q: Node, c: Node) -> None:
         a, b = self.queries[q.rows], self.rows[c.rows]
-        if self.exact:
-            new = (a @ b.T).astype(np.int64)
-        else:
-            new = a.astype(np.int64) @ b.astype(np.int64).T
-        own = np.broadcast_to(self.ids[c.rows], new.shape)
-        new = np.where(own == self.query_ids[q.rows][:, None], np.iinfo(np.int64).min, new)
-        ids = np.where(own == self.query_ids[q.rows][:, None], np.iinfo(np.int64).max, own)
-        scores = np.concatenate([self.scores[q.rows], new], axis=1)
-        ids = np.concatenate([self.found[q.rows], ids], axis=1)
-        if scores.shape[1] > 4 * self.k:  # drop what is below the kth score; ties stay
-            kth = np.partition(scores, -self.k, axis=1)[:, -self.k].min()
-            some = (scores >= kth).any(axis=0)
-            scores, ids = scores[:, some], ids[:, some]
+        new = a @ b.T if self.exact else a.astype(np.int64) @ b.astype(np.int64).T
+        # Most products are below the kth score so far, or below the query's first bound.
+        enters = (new >= self.scores[q.rows, -1:]) & (new >= self.floor[q.rows, None])
+        enters &= self.ids[c.rows] != self.query_ids[q.rows, None]
+        some, rows = enters.any(axis=1), enters.any(axis=0)
+        if not some.any():
+            return
+        at, enters = q.rows[some], enters[np.ix_(some, rows)]
+        new = np.where(enters, new[np.ix_(some, rows)].astype(np.int64), np.iinfo(np.int64).min)
+        ids = np.where(enters, self.ids[c.rows[rows]], np.iinfo(np.int64).max)
+        scores = np.concatenate([self.scores[at], new], axis=1)
+        ids = np.concatenate([self.found[at], ids], axis=1)
         order = np.lexsort((ids, -scores.astype(float) if self.exact else ~scores))[:, : self.k]
-        self.scores[q.rows] = np.take_along_axis(scores, order, axis=1)
-        self.found[q.rows] = np.take_along_axis(ids, order, axis=1)
+        self.scores[at] = np.take_along_axis(scores, order, axis=1)
+        self.found[at] = np.take_along_axis(ids, order, axis=1)
 
     def run(self, q: Node, c: Node) -> None:
         work = [(best_product(q, c), q, c)]
