@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +69,23 @@ def grouped_least_squares(df: DataFrame, keys: list[str], y: Column, xs: list[Co
     return solve(gram(df, keys, y, xs), len(xs))
 
 
+def _group_starts(columns: list[pa.Array]) -> np.ndarray:
+    """Where runs of rows with equal keys begin; nulls are equal."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        now, before = c.slice(1), c.slice(0, len(c) - 1)
+        unlike = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
+        new[1:] |= np.asarray(unlike)
+    return np.flatnonzero(new)
+
+
 def wide_gram(df: DataFrame, keys: list[str], y: Column, xs: Column) -> DataFrame:
     """``gram`` for many regressors, given as one array column: tasks multiply whole batches.
 
-    Every task hands on one row of sums per group and batch; they are added per entry, so
-    a group with very many rows is no larger a task than any other. Rows with a missing
-    entry must be filtered out before.
+    Every task hands on one row of sums per group and batch, so a group with very many rows
+    is no larger a task than any other; batches should hold few groups, as ``df`` has them
+    together. Rows with a missing entry must be filtered out before.
     """
     named = df.select(*keys, y.cast("double").alias("_y"), xs.cast("array<double>").alias("_x"))
     fields = [f for f in named.schema if f.name in keys]
@@ -98,10 +110,26 @@ def wide_gram(df: DataFrame, keys: list[str], y: Column, xs: Column) -> DataFram
                 [*columns, pa.array([n for n, _ in out]), pa.array([a for _, a in out], pa.list_(pa.float64()))], names=[*keys, "n", "all"]
             )
 
-    parts = named.mapInArrow(sums, schema)
-    entries = parts.select(*keys, "n", F.posexplode("all").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
-    merged = entries.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_i", "_v")))["_v"].alias("all"))
-    return merged
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the sums of a group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            starts = _group_starts([whole.column(k) for k in keys])
+            n = np.add.reduceat(np.asarray(whole.column("n")), starts)
+            entries = np.asarray(whole.column("all").flatten()).reshape(whole.num_rows, -1)
+            entries = np.add.reduceat(entries, starts, axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * entries.shape[1], pa.int32()), pa.array(entries.ravel()))
+            columns = [whole.column(k).take(pa.array(starts)) for k in keys]
+            groups = pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], names=[*keys, "n", "all"])
+            held = groups.slice(groups.num_rows - 1)
+            yield groups.slice(0, groups.num_rows - 1)
+        if held is not None:
+            yield held
+
+    # Sums of a group are added as they come by, so that a task holds one batch of them.
+    return named.mapInArrow(sums, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 
 
 def whole_gram(flat: np.ndarray) -> np.ndarray:

@@ -335,7 +335,9 @@ def fit_harmonic(
     spans = spans.where(F.col("_rows") >= MIN_ROWS).select(STATION, "origin", F.greatest(hours, F.lit(1.0)).alias("span"), offset.alias("offset"))
     keys = [STATION, "origin", "span", "offset"]
     xs = _design(F.col(TS), F.col("origin"), F.col("span"), daily, weekly, changepoints)
-    sums = wide_gram(present.join(spans, STATION), keys, F.log(F.col(value) + F.col("offset")), F.array(*xs))
+    # Rows of a station and quarter lie together, so that tasks hold sums of few stations.
+    near = present.join(spans, STATION).repartition(STATION, F.date_trunc("quarter", TS)).sortWithinPartitions(STATION)
+    sums = wide_gram(near, keys, F.log(F.col(value) + F.col("offset")), F.array(*xs))
     schema = T.StructType([f for f in sums.schema if f.name in (*keys, "n")] + [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rss", T.DoubleType())])
     hinges = slice(2, 2 + changepoints)
 
